@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, urls
+from . import mixing, secrets, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,16 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mix_sources": op4_mix_sources, "op6_url_filters": op6_url_filters}
+    return {
+        "op4_mix_sources": op4_mix_sources,
+        "op6_url_filters": op6_url_filters,
+        "op7_secret_scan": op7_secret_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
