@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, covertree, langid, licenses, mixing, neardup, secrets, urls
+from . import ann, bpe, covertree, langid, licenses, mixing, neardup, quality, secrets, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.link(table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filters": op6_url_filters,
         "op7_secret_scan": op7_secret_scan,
         "op8_nearest_neighbours": op8_nearest_neighbours,
+        "op9_quality_cotraining": op9_quality_cotraining,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
