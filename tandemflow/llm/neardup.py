@@ -10,11 +10,12 @@
    of classes gives as many pairs as classes.  Pairs whose sketches are far apart are left out; the
    rest are confirmed on full shingle sets made from the texts.
 4. Bands whose classes lie in different components afterwards are searched once more, block by
-   block, by sketch; what looks near and isn't linked yet is confirmed on full sets as well.
+   block, by sketch and by a finer sketch of more samples; what looks near and isn't linked yet is
+   confirmed on full sets as well.
 5. Components of the confirmed links.
 
 Bands: two sets of similarity 0.8 share none of 40 bands of 5 samples with a chance of 1e-7.  The
-sketch bound lies 5 standard deviations beyond what a similarity of 0.8 gives.
+sketch bounds lie 5 standard deviations beyond what a similarity of 0.8 gives.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; a text shorter
 than a shingle is one shingle of all its words; a null id is linked with nothing, its component
@@ -45,19 +46,22 @@ BITS = 512
 #: Classes of a band that one task compares with each other, and shingles hashed at once.
 BLOCK, STEP = 1024, 2048
 
+#: The finer sketch that step 4 makes of classes still in question.
+FINE_SAMPLES, FINE_BITS = 2048, 8192
+
 _rng = np.random.default_rng(5)
-_A = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
+_A = _rng.integers(0, 1 << 31, FINE_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32)
 
 
-def sketch_bound(percent: int, deviations: float = 5.0) -> int:
+def sketch_bound(percent: int, samples: int = SAMPLES, bits: int = BITS, deviations: float = 5.0) -> int:
     """Most differing bits that sets of the similarity give, but for ``deviations`` standard deviations."""
     j = percent / 100
-    items = 2 * SAMPLES * (1 - j)  # of one side only: each sample that differs gives two
-    left = (1 - 2 / BITS) ** items
-    from_samples = 2 * np.sqrt(SAMPLES * j * (1 - j)) * left
-    from_meetings = 2 * np.sqrt(items * items / (2 * BITS))  # items that meet on a bit cancel
-    return int(BITS / 2 * (1 - left) + deviations * np.hypot(from_samples, from_meetings))
+    items = 2 * samples * (1 - j)  # of one side only: each sample that differs gives two
+    left = (1 - 2 / bits) ** items
+    from_samples = 2 * np.sqrt(samples * j * (1 - j)) * left
+    from_meetings = 2 * np.sqrt(items * items / (2 * bits))  # items that meet on a bit cancel
+    return int(bits / 2 * (1 - left) + deviations * np.hypot(from_samples, from_meetings))
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -77,19 +81,20 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
-    """The MinHash samples of a set: for each of the permutations of 32 bits, the least value."""
+def samples(shingles: np.ndarray, n: int = SAMPLES) -> np.ndarray:
+    """The MinHash samples of a set: for each of the first n permutations of 32 bits, the least value."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(x), STEP):
-        part = x[at : at + STEP, None] * _A
-        part += _B
+    least = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
+    step = STEP * SAMPLES // n
+    for at in range(0, len(x), step):
+        part = x[at : at + step, None] * _A[:n]
+        part += _B[:n]
         np.minimum(least, part.min(axis=0), out=least)
     return least
 
 
 _BAND = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-_SAMPLE = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
+_SAMPLE = np.arange(FINE_SAMPLES, dtype=np.uint64) << np.uint64(32)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
@@ -100,10 +105,19 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
+def odd_sketch(least: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Parity of the samples that fall on each bit, as 64-bit words."""
-    bit = (K.mix(_SAMPLE | least.astype(np.uint64)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(bit, minlength=BITS).astype(np.uint8) & 1).view(np.uint64)
+    bit = (K.mix(_SAMPLE[: len(least)] | least.astype(np.uint64)) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=bits).astype(np.uint8) & 1).view(np.uint64)
+
+
+def _finely(size: int):
+    def finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.blocks(batches, "text"):
+            fine = [odd_sketch(samples(s, FINE_SAMPLES), FINE_BITS).view(np.int64) for s in shingle_sets(batch.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(fine, pa.list_(pa.int64()))], ["class", "fine"])
+
+    return finely
 
 
 def _signed(size: int):
@@ -146,8 +160,8 @@ def _confirmed(size: int, percent: int):
     return confirmed
 
 
-def _searched(bound: int):
-    """Pairs of a band's blocks whose sketches are near and whose components differ.
+def _searched(bound: int, fine_bound: int):
+    """Pairs of a band's blocks whose sketches, then finer sketches, are near and whose components differ.
 
     A table holds many small searches or a large one, told apart by (key, i, j).
     """
@@ -155,6 +169,7 @@ def _searched(bound: int):
     def searched(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        fine = table.column("fine").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
         side = table.column("side").to_numpy()
         group = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
@@ -166,6 +181,7 @@ def _searched(bound: int):
             for at in left.tolist():
                 others = right[(group[right] != group[at]) & ((side[right] == 1) | (right > at))]
                 near = others[np.bitwise_count(sketch[others] ^ sketch[at]).sum(axis=1) <= bound]
+                near = near[np.bitwise_count(fine[near] ^ fine[at]).sum(axis=1) <= fine_bound]
                 found_a.append(np.full(len(near), at))
                 found_b.append(near)
         nodes = table.column("class")
@@ -246,14 +262,16 @@ def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     total = split.agg(F.sum(F.col("n") * F.col("n_blocks"))).head()[0] or 0
     known = links
     if total:
-        members = label.join(split, "key").join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
+        in_question = label.join(split.select("key"), "key").select("class").distinct()
+        wide = cut(texts.join(in_question, "class").mapInArrow(_finely(size), "class binary, fine array<long>"), "neardup-fine")
+        members = label.join(split, "key").join(sketches, "class").join(wide, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
         placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-            "key", "class", "component", "sketch",
+            "key", "class", "component", "sketch", "fine",
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         )
-        dealt = placed.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(total // (4 * BLOCK) + 1)))
-        more = dealt.groupBy("task").applyInArrow(_searched(bound), "a binary, b binary")
+        dealt = placed.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(total // (2 * BLOCK) + 1)))
+        more = dealt.groupBy("task").applyInArrow(_searched(bound, sketch_bound(percent, FINE_SAMPLES, FINE_BITS)), "a binary, b binary")
         more = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-more")
         known = links.unionByName(_confirm(more, texts, size, percent))
     # Rows that share an id join the classes of their texts.
