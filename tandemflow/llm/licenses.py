@@ -3,8 +3,7 @@
 All rolling word k-gram hashes of all texts are joined to the positions of the same k-grams in a
 table of license templates.  A hit votes for the diagonal ``word - template position``.  Votes are
 counted on each diagonal, neighbouring diagonals (words put in or left out) are merged, and a
-merged span is kept when the template positions hit cover enough of the template and the words
-hit cover enough of the span.  The base phrases are templates too, with k of 2: a place is a
+merged span is kept when the words of its hits cover enough of the template and of the span.  The base phrases are templates too, with k of 2: a place is a
 diagonal with all votes.
 
 The template table is a parameter of fixed size, not data, so its join side is broadcast.  Only
@@ -35,8 +34,8 @@ PHRASE_K, TEMPLATE_K = 2, 4
 ROW_WORDS = 1 << 16
 #: Diagonals this near to each other are one span.
 NEAR = 3
-#: Least share of a template's k-grams that a span must hit, and of a span's words that hits must cover.
-TEMPLATE_SHARE, SPAN_SHARE = 0.6, 0.6
+#: Least share of a template's words, and of a span's, that hits must cover.
+TEMPLATE_SHARE, SPAN_SHARE = 0.7, 0.6
 
 
 @dataclass(frozen=True)
@@ -163,10 +162,11 @@ def spans(found: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
             F.max("k").alias("k"),
             F.max("exact").alias("exact"),
         )
-        .withColumn("share", F.size("positions") / F.col("n_grams"))
+        .withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("positions", lambda p: F.sequence(p, p + F.col("k") - 1))))))
+        .withColumn("share", F.col("covered") / (F.col("n_grams") + F.col("k") - 1))
     )
-    covered = (F.size("positions") + F.col("k") - 1) / (F.col("end") - F.col("start"))
-    verified = F.when(F.col("exact"), F.col("share") == 1).otherwise((F.col("share") >= TEMPLATE_SHARE) & (covered >= SPAN_SHARE))
+    near = (F.col("share") >= TEMPLATE_SHARE) & (F.col("covered") / (F.col("end") - F.col("start")) >= SPAN_SHARE)
+    verified = F.when(F.col("exact"), F.size("positions") == F.col("n_grams")).otherwise(near)
     return merged.filter(verified).select(*key, "start", "end", F.least(F.col("share"), F.lit(1.0)).alias("score"))
 
 
