@@ -163,13 +163,15 @@ def _confirmed(size: int, percent: int):
 def _searched(bound: int, fine_bound: int):
     """Pairs of a band's blocks whose sketches, then finer sketches, are near and whose components differ.
 
-    A table holds many small searches or a large one, told apart by (key, i, j).
+    A table holds many small searches or a large one, told apart by (key, i, j).  A pair that shares
+    several bands is given by the first of them alone.
     """
 
     def searched(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
         fine = table.column("fine").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         side = table.column("side").to_numpy()
         group = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
@@ -182,6 +184,7 @@ def _searched(bound: int, fine_bound: int):
                 others = right[(group[right] != group[at]) & ((side[right] == 1) | (right > at))]
                 near = others[np.bitwise_count(sketch[others] ^ sketch[at]).sum(axis=1) <= bound]
                 near = near[np.bitwise_count(fine[near] ^ fine[at]).sum(axis=1) <= fine_bound]
+                near = near[bands[at][(bands[near] == bands[at]).argmax(axis=1)] == key[low]] if len(near) else near
                 found_a.append(np.full(len(near), at))
                 found_b.append(near)
         nodes = table.column("class")
@@ -264,9 +267,9 @@ def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     if total:
         in_question = label.join(split.select("key"), "key").select("class").distinct()
         wide = cut(texts.join(in_question, "class").mapInArrow(_finely(size), "class binary, fine array<long>"), "neardup-fine")
-        members = label.join(split, "key").join(sketches, "class").join(wide, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
+        members = label.join(split, "key").join(classes.select("class", "sketch", "bands"), "class").join(wide, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
         placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-            "key", "class", "component", "sketch", "fine",
+            "key", "class", "component", "sketch", "fine", "bands",
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         )
