@@ -31,7 +31,9 @@ from .components import components
 from .scratch import cut
 from .vectors import matrix, usable
 
-BLOCK, LEAF = 2048, 8
+BLOCK, LEAF = 4096, 8
+#: Rows of a distance matrix that are made at once.
+ROWS_AT_ONCE = 512
 #: Most centres: what the driver and each task hold of them is bounded by it.
 CENTRES = 1024
 #: Room for rounding: nearer bounds than this are measured, not decided by radii.
@@ -39,12 +41,20 @@ SLACK = 1e-6
 
 
 class Node:
-    """Points within ``radius`` of a centre; the children's radii are at most half of it."""
+    """Points within ``radius`` of a centre; the children's radii are at most half of it.
 
-    __slots__ = ("centre", "radius", "points", "children")
+    centres and radii are those of the children, as arrays.
+    """
 
-    def __init__(self, centre: int, radius: float, points: np.ndarray, children: list[Node]) -> None:
-        self.centre, self.radius, self.points, self.children = centre, radius, points, children
+    __slots__ = ("centre", "radius", "points", "children", "centres", "radii")
+
+    def __init__(self, centre: int, radius: float, points: np.ndarray) -> None:
+        self.centre, self.radius, self.points, self.children = centre, radius, points, []
+
+
+def _cosine_of(distance: float | np.ndarray) -> float | np.ndarray:
+    """Cosine of unit vectors at a distance, at least -1."""
+    return np.maximum(1 - np.square(distance) / 2, -1.0)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -52,28 +62,54 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * x @ y.T, 0))
 
 
+def _net(x: np.ndarray, radius: float) -> np.ndarray:
+    """For each row the first row, in order, that is a centre of a net and no farther than ``radius``."""
+    least = _cosine_of(radius)
+    of = np.full(len(x), -1)
+    for at in range(0, len(x), ROWS_AT_ONCE):
+        rows, near = np.nonzero(x[at : at + ROWS_AT_ONCE] @ x.T >= least)
+        bounds = np.searchsorted(rows, np.arange(len(x[at : at + ROWS_AT_ONCE]) + 1))
+        alone = np.diff(bounds) <= 1
+        for i in range(len(alone)):
+            if of[at + i] >= 0:
+                continue
+            of[at + i] = at + i
+            if not alone[i]:
+                others = near[bounds[i] : bounds[i + 1]]
+                of[others[of[others] < 0]] = at + i
+    return of
+
+
 def cover_tree(x: np.ndarray) -> Node:
     """Cover tree of the unit vectors in the rows of ``x``."""
     every = np.arange(len(x))
-    root = Node(0, float(_apart(x, x[:1]).max()), every, [])
+    root = Node(0, float(_apart(x, x[:1]).max()), every)
     open_ = [root]
     while open_:
         node = open_.pop()
         if len(node.points) <= LEAF or node.radius <= SLACK:
             continue
-        left, centre = node.points, node.centre
-        while len(left):
-            d = _apart(x[left], x[centre : centre + 1])[:, 0]
-            near = d <= node.radius / 2
-            near |= left == centre
-            child = Node(centre, float(d[near].max()), left[near], [])
+        # The node's own centre leads, so that it is the centre of its first child.
+        points = np.r_[node.centre, node.points[node.points != node.centre]]
+        of = _net(x[points], node.radius / 2)
+        order = np.argsort(of, kind="stable")
+        firsts, bounds = np.unique(of[order], return_index=True)
+        for first, own in zip(firsts.tolist(), np.split(points[order], bounds[1:]), strict=True):
+            centre = int(points[first])
+            radius = float(_apart(x[own], x[centre : centre + 1]).max()) if len(own) > 1 else 0.0
+            child = Node(centre, radius, own)
             node.children.append(child)
-            open_.append(child)
-            left = left[~near]
-            centre = int(left[0]) if len(left) else -1
+            if len(own) > 1:
+                open_.append(child)
+        _arrays(node)
     return root
 
 
+def _arrays(node: Node) -> None:
+    node.centres = np.array([c.centre for c in node.children])
+    node.radii = np.array([c.radius for c in node.children])
+
+
 class Links:
     """Linked weight of each point and edges that connect what is linked."""
 
@@ -115,44 +151,53 @@ class Links:
                 if len(i):
                     self._pairs(n.points[i], n.points[j])
             else:
-                open_ += n.children
-                self._between(n.children, n.children, True)
+                open_ += [c for c in n.children if len(c.points) > 1]
+                self._between(n, n, True)
 
     def between(self, a: Node, b: Node) -> None:
         """All pairs of a point of one tree and a point of the other."""
-        self._between([a], [b], False)
+        self._meet([(a, b)])
 
-    def _between(self, first: list[Node], second: list[Node], same: bool) -> None:
-        open_ = [(first, second, same)]
+    def _meet(self, open_: list[tuple[Node, Node]]) -> None:
         while open_:
-            left, right, same = open_.pop()
-            centres, radii = np.array([n.centre for n in right]), np.array([n.radius for n in right])
-            single_a, single_b = [], []
-            for at in range(0, len(left), 512):
-                part = left[at : at + 512]
-                reach = np.array([n.radius for n in part])[:, None] + radii[None, :]
-                d = _apart(self.x[[n.centre for n in part]], self.x[centres])
-                near = d <= self.bound + reach + SLACK
-                if same:
-                    near &= np.arange(len(right))[None, :] > np.arange(at, at + len(part))[:, None]
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    a, b = part[i], right[j]
-                    if len(a.points) == 1 and len(b.points) == 1:
-                        single_a.append(a.centre)
-                        single_b.append(b.centre)
-                    elif d[i, j] + reach[i, j] <= self.bound - SLACK:
-                        self.all_of(a.points, b.points)
-                    elif not a.children and not b.children:
-                        self.measured(a.points, b.points)
-                    elif a.children and (a.radius >= b.radius or not b.children):
-                        open_.append((a.children, [b], False))
-                    else:
-                        open_.append(([a], b.children, False))
-            if single_a:
-                a, b = np.array(single_a), np.array(single_b)
-                linked = np.einsum("ij,ij->i", self.x[a], self.x[b]) >= self.cosine
-                if linked.any():
-                    self._pairs(a[linked], b[linked])
+            a, b = open_.pop()
+            d = float(_apart(self.x[a.centre : a.centre + 1], self.x[b.centre : b.centre + 1])[0, 0])
+            reach = a.radius + b.radius
+            if d > self.bound + reach + SLACK:
+                continue
+            if d + reach <= self.bound - SLACK:
+                self.all_of(a.points, b.points)
+            elif not a.children and not b.children:
+                self.measured(a.points, b.points)
+            elif a.children and b.children:
+                self._between(a, b, False)
+            elif a.children:
+                open_ += [(c, b) for c in a.children]
+            else:
+                open_ += [(a, c) for c in b.children]
+
+    def _between(self, a: Node, b: Node, same: bool) -> None:
+        """The children of a with those of b (same: each two children of one node once)."""
+        open_ = []
+        x, y = self.x[a.centres], self.x[b.centres]
+        most = float(b.radii.max())
+        for at in range(0, len(x), ROWS_AT_ONCE):
+            cosine = x[at : at + ROWS_AT_ONCE] @ y.T
+            # One bound for a row first, by the widest of the other side; then each pair's own.
+            loose = _cosine_of(self.bound + a.radii[at : at + ROWS_AT_ONCE] + most + SLACK)
+            i, j = np.nonzero(cosine >= loose[:, None])
+            if same:
+                i, j = i[j > i + at], j[j > i + at]
+            reach = a.radii[i + at] + b.radii[j]
+            near = cosine[i, j] >= _cosine_of(self.bound + reach + SLACK)
+            i, j, reach = i[near] + at, j[near], reach[near]
+            single = reach == 0
+            p, q = a.centres[i[single]], b.centres[j[single]]
+            linked = np.einsum("ij,ij->i", self.x[p], self.x[q]) >= self.cosine
+            if linked.any():
+                self._pairs(p[linked], q[linked])
+            open_ += [(a.children[k], b.children[m]) for k, m in zip(i[~single].tolist(), j[~single].tolist(), strict=True)]
+        self._meet(open_)
 
     def roots(self) -> np.ndarray:
         """The smallest point reachable from each."""
@@ -204,7 +249,9 @@ def _moved(tree: Node, to: np.ndarray) -> Node:
     while open_:
         n = open_.pop()
         n.centre, n.points = int(to[n.centre]), to[n.points]
-        open_ += n.children
+        if n.children:
+            n.centres = to[n.centres]
+            open_ += n.children
     return tree
 
 
