@@ -84,15 +84,27 @@ def median_profile(df: DataFrame, entity: str, row: str, channel: str, value: st
     return profile.join(peak, entity).select(entity, channel, (F.col("_p") * F.col("_scale")).alias(value))
 
 
-def fitted_ratios(df: DataFrame, entity: str, row: str, channel: str, value: str) -> DataFrame:
-    """(entity, channel, value) by the least-squares fit of median pair ratios; an entity's matrix is a pandas group."""
+def fitted_ratios(df: DataFrame, entity: str, row: str, channel: str, value: str, tasks: int = 512) -> DataFrame:
+    """(entity, channel, value) by the least-squares fit of median pair ratios of each entity's matrix.
+
+    Entities are dealt to ``tasks`` groups by a hash, so a group is a batch of small matrices.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=row, columns=channel, values=value, aggfunc="sum")
-        return pd.DataFrame({entity: pdf[entity].iloc[0], channel: wide.columns, value: ratio_fit(wide.to_numpy(dtype=np.float64))})
+        ids, channels, values = [], [], []
+        for e, part in pdf.groupby(entity, sort=False):
+            r, ri = np.unique(part[row].to_numpy(), return_inverse=True)
+            c, ci = np.unique(part[channel].to_numpy(), return_inverse=True)
+            x = np.full((len(r), len(c)), np.nan)
+            x[ri, ci] = part[value].to_numpy(dtype=np.float64)
+            ids.append(np.full(len(c), e))
+            channels.append(c)
+            values.append(ratio_fit(x))
+        return pd.DataFrame({entity: np.concatenate(ids), channel: np.concatenate(channels), value: np.concatenate(values)})
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (entity, channel))
-    return df.select(entity, row, channel, value).groupBy(entity).applyInPandas(fit, f"{kinds}, {value} double")
+    dealt = df.select(entity, row, channel, value, F.pmod(F.xxhash64(entity), F.lit(tasks)).alias("_task"))
+    return dealt.groupBy("_task").applyInPandas(fit, f"{kinds}, {value} double")
 
 
 def best_row(df: DataFrame, entity: str, row: str, value: str, count: str) -> DataFrame:
