@@ -12,10 +12,9 @@ scores for each bucket, of a fixed size, which is sent to the executors.  Predic
 pass over whole texts without a shuffle; each distinct word of a block is scored once.
 
 Defined results: a text that is null or has no letter gets ``und``, score 0, and is rejected; a
-null id counts as an empty one when folds are made; rows without a language are never learned
-from; without any labelled row everything is ``und``; repeated rows are predicted alike; an
-empty table gives no rows; :func:`predict` carries all columns, and replaces those of the names
-it adds.
+null id isn't held out and, like rows without a language, never learned from; without any
+labelled row everything is ``und``; repeated rows are predicted alike; an empty table gives no
+rows; :func:`predict` carries all columns, and replaces those of the names it adds.
 """
 
 from __future__ import annotations
@@ -32,11 +31,11 @@ from . import textkernels as K
 
 BUCKETS, DIM = 1 << 16, 16
 GRAMS = (2, 3, 4)
-#: Labelled texts learned from, for each language; every CALIBRATE-th of them calibrates.
-SAMPLE, CALIBRATE = 600, 5
+#: Labelled texts learned from, for each of the most frequent languages; every CALIBRATE-th of them calibrates.
+SAMPLE, LANGUAGES, CALIBRATE = 600, 200, 5
 EPOCHS, BATCH, RATE = 6, 16, 0.5
-#: Part of rightly predicted calibration texts that rejection may cost.
-COST = 0.002
+#: Part of rightly predicted calibration texts that rejection may cost, and the confidence from which nothing is rejected.
+COST, SURE = 0.002, 0.5
 UNKNOWN = "und"
 
 LETTERS = np.zeros(256, dtype=bool)
@@ -113,15 +112,19 @@ class Model:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, order, text): at most ``per_language`` labelled texts of each language that aren't held out."""
-    order = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    # A count for each language (labels, not data) keeps what is sorted near the sample's size.
-    counts = known.groupBy(F.col(lang).alias("lang")).count()
-    rows = known.select(F.col(lang).alias("lang"), order.alias("order"), F.col(text).alias("text")).join(counts, "lang")
-    near = rows.filter(F.shiftrightunsigned("order", 1) / 2.0**63 <= 2.0 * per_language / F.col("count") + 1e-3)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
-    return near.withColumn("nth", first).filter(F.col("nth") <= per_language).select("lang", "order", "text")
+    """(lang, order, text): at most ``per_language`` labelled texts of each of ``LANGUAGES`` languages that aren't held out.
+
+    Ids are ranked without their texts, and each task keeps no more than ``per_language`` of a
+    language before anything is sent; the ids chosen are so few that the texts stay where they are.
+    """
+    usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))
+    rows = docs.filter(usable).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang").collect()]
+    order = F.xxhash64(F.col("id").cast("string"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
+    chosen = rows.filter(F.col("lang").isin(names)).select("id", "lang", order.alias("order")).withColumn("nth", nth).filter(F.col("nth") <= per_language)
+    # At most per_language * LANGUAGES ids.
+    return rows.join(F.broadcast(chosen.select("id", "lang", "order").distinct()), ["id", "lang"]).select("lang", "order", "text")
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 1) -> Model | None:
@@ -177,7 +180,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", tex
     right = chance.argmax(axis=1) == y[rows]
     confident = np.sort(chance.max(axis=1)[right])
     least = float(confident[int(COST * len(confident))]) if len(confident) else 0.0
-    return Model(languages, scores.astype(np.float32), bias, float(temperature), min(least, 0.9))
+    return Model(languages, scores.astype(np.float32), bias, float(temperature), min(least, SURE))
 
 
 def _predictor(model):
