@@ -33,8 +33,8 @@ from . import textkernels as K
 #: The pattern of byte-level BPE tokenizers, with Unicode's white space spelled out.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-BLOCK_BYTES = 8 << 20
-CACHE_PIECES = 400_000
+BLOCK_BYTES = 4 << 20
+CACHE_PIECES = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -176,11 +176,15 @@ class _Cache:
         """(ids, bounds by text)."""
         if len(self.code) > CACHE_PIECES:
             self.clear()
-        pieces = [self.tokenizer.pieces(t) for t in texts]
-        code = self.code
-        new = {p: i for i, p in enumerate(dict.fromkeys(p for own in pieces for p in own if p not in code), len(code))}
-        code |= new
-        special = {p: i for p, i in self.tokenizer.special.items() if p in new}
+        code, new, codes = self.code, [], []
+        for t in texts:  # of the pieces, only their codes are kept
+            own = self.tokenizer.pieces(t)
+            for p in own:
+                if p not in code:
+                    code[p] = len(code)
+                    new.append(p)
+            codes.append(np.array([code[p] for p in own], dtype=np.int32))
+        special = {p: i for p, i in self.tokenizer.special.items() if code.get(p, -1) >= len(code) - len(new)}
         ids, bounds = self.tokenizer.encode_pieces([p for p in new if p not in special])
         if special:  # their own id, in the place that their code has
             own = np.split(ids, bounds[1:-1]) if len(bounds) > 1 else []
@@ -189,9 +193,8 @@ class _Cache:
             ids, bounds = np.concatenate(own), np.cumsum([0, *map(len, own)])
         self.ids = np.concatenate([self.ids, ids])
         self.bounds = np.concatenate([self.bounds, bounds[1:] + self.bounds[-1]])
-        codes = np.fromiter((code[p] for own in pieces for p in own), dtype=np.int64)
-        flat, at = gather(self.ids, self.bounds, codes)
-        return flat, at[np.cumsum([0, *map(len, pieces)])]
+        flat, at = gather(self.ids, self.bounds, np.concatenate(codes))
+        return flat, at[np.cumsum([0, *map(len, codes)])]
 
 
 def _run(docs: DataFrame, path: str, work):
