@@ -91,8 +91,10 @@ class Tokenizer:
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of distinct pieces, by the pair occurrence index."""
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        lengths = np.array([len(r) for r in raw])
+        lengths = np.array([len(r) for r in raw], dtype=np.int64)
         n = int(lengths.sum())
         owner = np.repeat(np.arange(len(raw)), lengths)
         symbol = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
