@@ -19,8 +19,9 @@ sketch bounds lie 5 standard deviations beyond what a similarity of 0.8 gives.
 
 Defined results: a null or blank text has no shingles and is linked with nothing; a text shorter
 than a shingle is one shingle of all its words; a null id is linked with nothing, its component
-is null and it is kept; rows that share an id are one node of the graph, each keeps a row of its
-own; an empty table gives no rows; further columns are ignored by :func:`link` and carried by
+is null and it is kept; rows that share an id are one node of :func:`link`'s graph, each keeps a row
+of its own, but :func:`deduplicate` goes by texts and never takes two texts for copies because
+they share an id; an empty table gives no rows; further columns are ignored by :func:`link` and carried by
 :func:`deduplicate`.
 """
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
@@ -206,30 +207,43 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR_PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept (it is its component's smallest id)."""
-    signed, found, _ = _linked(docs, size, percent, doc_id, text)
+    signed, classes, links, shown = _linked(docs, size, percent, doc_id, text)
+    # Rows that share an id join the classes of their texts.
+    twice = shown.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("id", "a")
+    same_id = shown.join(twice, "id").select("a", F.col("class").alias("b"))
+    found = _components(classes, links.unionByName(same_id)).select("class", F.col("survivor.id").alias("component_id"))
     out = signed.select("id", "n_shingles", "class").join(found, "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR_PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each component: that of the smallest id.
+    """``docs``, all columns, with one row of each component of texts: that of the smallest id, then text hash.
 
-    Rows that share an id are one document too: the one with the smallest text hash stays.
+    Of rows that share id and text, one stays.
     """
-    signed, found, shown = _linked(docs, size, percent, doc_id, text)
-    gone = shown.join(found, "class").filter("id <> component_id").select(F.col("id").alias(doc_id)).distinct()
-    kept = docs.join(gone, doc_id, "left_anti")
-    again = signed.filter("id IS NOT NULL").groupBy(F.col("id").alias(doc_id)).count().filter("count > 1").select(doc_id)
-    if not again.head(1):
-        return kept
-    order = Window.partitionBy(f"dedup_row.{doc_id}").orderBy(F.xxhash64(f"dedup_row.{text}"))
-    shared = kept.join(again, doc_id, "left_semi").select(F.struct("*").alias("dedup_row")).withColumn("dedup_at", F.row_number().over(order))
-    return kept.join(again, doc_id, "left_anti").unionByName(shared.filter("dedup_at = 1").select("dedup_row.*"))
-
-
-def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a row per document, (class, component_id) of each class, the rows that can be linked)."""
+    signed, classes, links, shown = _linked(docs, size, percent, doc_id, text)
+    found = _components(classes, links)
+    gone = shown.join(found, "class").select("id", "text_hash", "survivor").filter(F.struct("id", "text_hash") != F.col("survivor")).select("id", "text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("dedup_row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"))
+    kept = rows.join(gone, ["id", "text_hash"], "left_anti")
+    again = signed.filter("id IS NOT NULL").groupBy("id", "text_hash").count().filter("count > 1").select("id", "text_hash")
+    if again.head(1):
+        repeats = kept.join(again, ["id", "text_hash"], "left_semi")
+        one = repeats.groupBy("id", "text_hash").agg(F.min_by("dedup_row", F.xxhash64(F.to_json("dedup_row"))).alias("dedup_row"))
+        kept = kept.join(again, ["id", "text_hash"], "left_anti").unionByName(one)
+    return kept.select("dedup_row.*")
+
+
+def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, survivor) of each class: the smallest (id, text_hash) of its component."""
+    found = classes.select("class", "first").join(components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = found.groupBy("component").agg(F.min("first").alias("survivor"))
+    return found.join(smallest, "component").select("class", "survivor")
+
+
+def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(a row per document, a row per class, the confirmed links of classes, the rows that can be linked)."""
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     signed = cut(rows.mapInArrow(_signed(size), f"id {kind}, text_hash long, n_shingles long, class binary, sketch array<long>, bands array<long>"), "neardup-signed")
@@ -277,13 +291,7 @@ def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
         more = dealt.groupBy("task").applyInArrow(_searched(bound, sketch_bound(percent, FINE_SAMPLES, FINE_BITS)), "a binary, b binary")
         more = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-more")
         known = links.unionByName(_confirm(more, texts, size, percent))
-    # Rows that share an id join the classes of their texts.
-    twice = shown.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("id", "a")
-    same_id = shown.join(twice, "id").select("a", F.col("class").alias("b"))
-    linked = components(known.unionByName(same_id))
-    found = classes.select("class", F.col("first.id").alias("first")).join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = found.groupBy("component").agg(F.min("first").alias("component_id"))
-    return signed, found.join(smallest, "component").select("class", "component_id"), shown
+    return signed, classes, known, shown
 
 
 def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
