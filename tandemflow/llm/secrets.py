@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns and a randomness test battery (DataFrame functions only).
 
 Patterns give the base spans.  Beyond them, every unbroken token of ``MIN_TOKEN`` or more
-symbols with a digit is a candidate.  Its encoding is inferred from its alphabet, and three
+symbols is a candidate, with or without a digit.  Its encoding is inferred from its alphabet, and three
 tests run on its symbols: chi-squared uniformity of the alphabet, runs above and below the
 middle symbol, and lag-one serial correlation.  The last two reject tokens with structure.  The
 first gives the p-value of the hypothesis "ordinary text of that encoding", whose departure
@@ -30,7 +30,8 @@ KINDS = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32
 RANDOM = "random"
 
 MIN_TOKEN = 20
-TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
+#: '=' ends a token: it is padding where no symbol follows it, and what stands behind it is a token of its own.
+TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}+(?:=++(?![A-Za-z0-9+/_-]))?"
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (encoding, pattern of the unpadded token, alphabet, non-uniformity of ordinary text for each symbol)
@@ -40,7 +41,7 @@ ENCODINGS = (
     ("base62", "^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS, 2.0),
     ("base64", "^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/", 2.0),
     ("base64url", "^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_", 2.0),
-    ("mixed", "", _UPPER + _LOWER + _DIGITS + "+/-_=", 2.0),
+    ("mixed", "", _UPPER + _LOWER + _DIGITS + "+/-_", 2.0),
 )
 RATE = 0.05
 STRUCTURE = 0.002
@@ -136,8 +137,7 @@ def battery(hit: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<start, end, encoding, length_class, bin>> of a text's tokens."""
-    long_enough = F.filter(located(text, TOKEN), lambda x: F.length(F.rtrim(x["hit"], F.lit("="))) >= MIN_TOKEN)
-    return F.transform(long_enough, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end"), battery(x["hit"]).alias("t")))
+    return F.transform(located(text, TOKEN), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end"), battery(x["hit"]).alias("t")))
 
 
 def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[tuple[str, int], int]:
