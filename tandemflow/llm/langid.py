@@ -5,7 +5,9 @@ word between marks, hashed into ``BUCKETS`` rows.  A linear softmax over the ave
 languages.  Both layers are trained together by stochastic gradient descent in numpy on a bounded
 sample of labelled texts (``SAMPLE`` for each language, whole texts, chosen by a hash of the id);
 executors make the features, so the driver gets bucket counts and no text.  A part of the sample
-sets the softmax temperature and the confidence below which a prediction is rejected.
+sets the softmax temperature and the confidence below which a prediction is rejected: the
+quantile that keeps all but ``COST`` of the rightly predicted texts, and of their first ``SHORT``
+words, as a few words are predicted less surely than a whole text.
 
 As everything behind the embeddings is linear, the model is folded into one row of language
 scores for each bucket, of a fixed size, which is sent to the executors.  Prediction is one Arrow
@@ -34,8 +36,8 @@ GRAMS = (2, 3, 4)
 #: Labelled texts learned from, for each of the most frequent languages; every CALIBRATE-th of them calibrates.
 SAMPLE, LANGUAGES, CALIBRATE = 600, 200, 5
 EPOCHS, BATCH, RATE = 6, 16, 0.5
-#: Part of rightly predicted calibration texts that rejection may cost, and the confidence from which nothing is rejected.
-COST, SURE = 0.002, 0.5
+#: Part of rightly predicted calibration texts, and of their first SHORT words, that rejection may cost.
+COST, SHORT = 0.002, 5
 UNKNOWN = "und"
 
 LETTERS = np.zeros(256, dtype=bool)
@@ -78,7 +80,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, order, buckets, weights) of each text: what the average is made of."""
+    """(lang, order, short, buckets, weights) of each text: what the average is made of."""
     for batch in K.blocks(batches, "text", 1 << 20):
         word, bucket, code, first = subwords(*K.string_buffers(batch.column("text")))
         by_word = np.argsort(word, kind="stable")
@@ -92,7 +94,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(total)
             lists.append(some.astype(np.int32))
             weights.append((total[some] / max(total.sum(), 1)).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array(lists, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["lang", "order", "buckets", "weights"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), batch.column("short"), pa.array(lists, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["lang", "order", "short", "buckets", "weights"])
 
 
 @dataclass(frozen=True)
@@ -127,17 +129,25 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id",
     return rows.join(F.broadcast(chosen.select("id", "lang", "order").distinct()), ["id", "lang"]).select("lang", "order", "text")
 
 
+def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds by row, buckets, weights) of the rows."""
+    flat, weights = table.column("buckets").combine_chunks(), table.column("weights").combine_chunks()
+    return np.r_[0, np.cumsum(flat.value_lengths().to_numpy())], flat.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy().astype(np.float64)
+
+
 def fit(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 1) -> Model | None:
     """A model from the sample of ``docs``; None without labelled rows."""
-    counted = sample(docs, per_language, doc_id, text, lang).mapInArrow(_counted, "lang string, order long, buckets array<int>, weights array<float>")
-    table = counted.toArrow().sort_by([("order", "ascending"), ("lang", "ascending")])
+    taken = sample(docs, per_language, doc_id, text, lang)
+    opening = F.array_join(F.slice(F.split(F.trim("text"), r"\s+", SHORT + 1), 1, SHORT), " ")
+    both = taken.withColumn("cut", F.explode(F.array(F.struct(F.lit(False).alias("short"), F.col("text")), F.struct(F.lit(True).alias("short"), opening.alias("text")))))
+    counted = both.select("lang", "order", "cut.*").mapInArrow(_counted, "lang string, order long, short boolean, buckets array<int>, weights array<float>")
+    table = counted.toArrow().sort_by([("short", "ascending"), ("order", "ascending"), ("lang", "ascending")])
+    table, openings = table.slice(0, table.num_rows // 2), table.slice(table.num_rows // 2)
     languages = tuple(sorted(set(table.column("lang").to_pylist())))
     if not languages:
         return None
     y = np.array([languages.index(x) for x in table.column("lang").to_pylist()])
-    flat = table.column("buckets").combine_chunks()
-    bounds, ids = flat.offsets.to_numpy(), flat.values.to_numpy().astype(np.int64)
-    weights = table.column("weights").combine_chunks().values.to_numpy().astype(np.float64)
+    bounds, ids, weights = _lists(table)
     calibrating = np.arange(len(y)) % CALIBRATE == 0
     if calibrating.all():
         calibrating[:] = False
@@ -172,15 +182,16 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", tex
     scores = embedding @ out
     model = Model(languages, scores, bias, 1.0, 0.0)
     rows = np.flatnonzero(calibrating) if calibrating.any() else learning
-    average = np.stack([weights[bounds[r] : bounds[r + 1]] @ scores[ids[bounds[r] : bounds[r + 1]]] for r in rows])
+    averaged = lambda bounds, ids, weights: np.stack([weights[bounds[r] : bounds[r + 1]] @ scores[ids[bounds[r] : bounds[r + 1]]] for r in rows])
+    average = averaged(bounds, ids, weights)
     loss = lambda t: -np.log(np.maximum(Model(languages, scores, bias, t, 0).chances(average)[np.arange(len(rows)), y[rows]], 1e-12)).mean()
     temperature = min(np.geomspace(0.2, 5, 40), key=loss)
     model = Model(languages, scores, bias, float(temperature), 0.0)
-    chance = model.chances(average)
-    right = chance.argmax(axis=1) == y[rows]
-    confident = np.sort(chance.max(axis=1)[right])
-    least = float(confident[int(COST * len(confident))]) if len(confident) else 0.0
-    return Model(languages, scores.astype(np.float32), bias, float(temperature), min(least, SURE))
+    least = []
+    for chance in (model.chances(average), model.chances(averaged(*_lists(openings)))):
+        confident = np.sort(chance.max(axis=1)[chance.argmax(axis=1) == y[rows]])
+        least.append(float(confident[int(COST * len(confident))]) if len(confident) else 0.0)
+    return Model(languages, scores.astype(np.float32), bias, float(temperature), min(least))
 
 
 def _predictor(model):
