@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,16 +108,22 @@ def set_rules(sets: DataFrame, single_at: float, multi_at: float) -> DataFrame:
 def optimal_set_rules(sets: DataFrame, expected: float, method: str = "two_fold") -> DataFrame:
     """(multi_at, single_at, target, decoy, fdr): the threshold pair with most targets within the expected FDR.
 
-    The multi-item curve is cut first; single-item sets then fill what of the FDR is left. Both
-    curves are counted by threshold before they are combined, at most ``running.BINS`` points each.
+    All distinct thresholds of both curves are tried.  The FDR's bound is linear in the counts, so
+    a pair is within it if the margins of its two points add up to enough: for each multi-item
+    point, the best single-item point of enough margin is a running best in the order of margins.
     """
-    thresholds = binned(sets, "score", []).withColumn("kind", F.when(F.col("n_items") == 1, "single").otherwise("multi"))
-    points = thresholds.groupBy("kind", "bin").agg(F.min("score").alias("threshold"), F.count_if(~F.col("is_decoy")).alias("t"), F.count_if("is_decoy").alias("d"))
-    w = Window.partitionBy("kind").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    curve = points.select("kind", "threshold", F.sum("t").over(w).alias("t"), F.sum("d").over(w).alias("d"))
-    multi = curve.filter("kind = 'multi'").select(F.col("threshold").alias("multi_at"), F.col("t").alias("mt"), F.col("d").alias("md"))
-    single = curve.filter("kind = 'single'").select(F.col("threshold").alias("single_at"), F.col("t").alias("st"), F.col("d").alias("sd"))
-    pairs = multi.crossJoin(F.broadcast(single))  # at most BINS x BINS points
-    both = pairs.select("multi_at", "single_at", (F.col("mt") + F.col("st")).alias("target"), (F.col("md") + F.col("sd")).alias("decoy"))
+    kind = F.when(F.col("n_items") == 1, "single").otherwise("multi")
+    curve = roc(sets.filter("score IS NOT NULL").withColumn("kind", kind), ["kind"], "score", method)
+    # In whole numbers, so that points on the bound are told exactly.
+    share = Fraction(str(expected)).limit_denominator(10**6)
+    decoys = 200 * share.denominator - share.numerator if method == "two_fold" else 100 * share.denominator
+    enough = 100 * share.denominator if method == "corrected" else 0
+    margin = F.col("target") * share.numerator - F.col("decoy") * decoys
+    is_single = F.col("kind") == "single"
+    points = curve.select("kind", "score", "target", "decoy", F.when(is_single, margin).otherwise(enough - margin).alias("margin"))
+    by_margin = points.groupBy("margin").agg(F.min(F.when(is_single, F.struct((-F.col("target")).alias("t"), "decoy", "score"))).alias("single"))
+    best = running_min(binned(by_margin, "margin", []), "margin", "single", "best", [], descending=True)
+    pairs = points.filter(~is_single).join(best.filter("best IS NOT NULL").select("margin", "best"), "margin")
+    both = pairs.select(F.col("score").alias("multi_at"), F.col("best.score").alias("single_at"), (F.col("target") - F.col("best.t")).alias("target"), (F.col("decoy") + F.col("best.decoy")).alias("decoy"))
     scored = both.withColumn("fdr", estimate(F.col("target"), F.col("decoy"), method)).filter(F.col("fdr") <= expected)
     return scored.orderBy(F.col("target").desc(), "fdr", "multi_at", "single_at").limit(1)
