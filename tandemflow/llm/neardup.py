@@ -10,8 +10,9 @@
    of classes gives as many pairs as classes.  Pairs whose sketches are far apart are left out; the
    rest are confirmed on full shingle sets made from the texts.
 4. Bands whose classes lie in different components afterwards are searched once more, block by
-   block, by sketch and by a finer sketch of more samples; what looks near and isn't linked yet is
-   confirmed on full sets as well.
+   block, by sketch and by a finer sketch of more samples.  What looks near to another component is
+   sent with its full shingle set, and the task that compares two blocks confirms pairs on the sets until
+   they are joined; it gives the links that join them, fewer than it has rows, whatever the number of pairs.
 5. Components of the confirmed links.
 
 Bands: two sets of similarity 0.8 share none of 40 bands of 5 samples with a chance of 1e-7.  The
@@ -44,8 +45,8 @@ BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 #: Bits of the odd sketch, and the most that may differ for a pair to be confirmed.
 BITS = 512
-#: Classes of a band that one task compares with each other, and shingles hashed at once.
-BLOCK, STEP = 1024, 2048
+#: Classes of a band in a block, shingles in a block that is compared exactly (or one longer text), and shingles hashed at once.
+BLOCK, BLOCK_SHINGLES, STEP = 1024, 1 << 20, 2048
 
 #: The finer sketch that step 4 makes of classes still in question.
 FINE_SAMPLES, FINE_BITS = 2048, 8192
@@ -145,53 +146,132 @@ def _signed(size: int):
     return signed
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of shingles are as similar as that, by their sizes first."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(size: int, percent: int):
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # blocks by the bytes of both texts
-                part = batch.slice(at, 256)
-                at += part.num_rows
-                keep = []
-                for x, y in zip(shingle_sets(part.column("text_a"), size), shingle_sets(part.column("text_b"), size), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for half in K.blocks([batch], "text_a"):
+                for part in K.blocks([half], "text_b"):  # so both sides' texts are bounded
+                    sets = zip(shingle_sets(part.column("text_a"), size), shingle_sets(part.column("text_b"), size), strict=True)
+                    keep = pa.array([_similar(x, y, percent) for x, y in sets], pa.bool_())
+                    yield part.select(["a", "b"]).filter(keep)
 
     return confirmed
 
 
-def _searched(bound: int, fine_bound: int):
-    """Pairs of a band's blocks whose sketches, then finer sketches, are near and whose components differ.
-
-    A table holds many small searches or a large one, told apart by (key, i, j).  A pair that shares
-    several bands is given by the first of them alone.
+def _shingled(size: int):
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.blocks(batches, "text"):
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
+
+    return shingled
+
+
+class _Meeting:
+    """The searches of a task: rows by (key, i, j), where each of the left meets each of the right."""
+
+    def __init__(self, table: pa.Table, bound: int, fine_bound: int) -> None:
+        self.table = table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        lists = lambda c: table.column(c).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        self.sketch, self.fine, self.bands = lists("sketch").view(np.uint64), lists("fine").view(np.uint64), lists("bands")
+        self.side = table.column("side").to_numpy()
+        self.group = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        self.key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+        change = np.flatnonzero((self.key[1:] != self.key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        self.ends = [0, *change.tolist(), table.num_rows]
+        self.bound, self.fine_bound = bound, fine_bound
+
+    def searches(self) -> Iterator[Iterator[tuple[int, np.ndarray]]]:
+        for low, high in zip(self.ends[:-1], self.ends[1:], strict=True):
+            yield self._search(low, high)
+
+    def _search(self, low: int, high: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, rows of other components that are near by both sketches and share no earlier band)."""
+        place = np.arange(low, high)
+        left, right = place[self.side[low:high] != 1], place[self.side[low:high] != 0]
+        for at in left.tolist():
+            others = right[(self.group[right] != self.group[at]) & ((self.side[right] == 1) | (right > at))]
+            near = others[np.bitwise_count(self.sketch[others] ^ self.sketch[at]).sum(axis=1) <= self.bound]
+            near = near[np.bitwise_count(self.fine[near] ^ self.fine[at]).sum(axis=1) <= self.fine_bound]
+            if len(near):
+                near = near[self.bands[at][(self.bands[near] == self.bands[at]).argmax(axis=1)] == self.key[low]]
+            if len(near):
+                yield at, near
+
+
+def _flagged(bound: int, fine_bound: int):
+    """(key, class) of the rows that look near to one of another component."""
+
+    def flagged(table: pa.Table) -> pa.Table:
+        meeting = _Meeting(table, bound, fine_bound)
+        seen = np.zeros(table.num_rows, dtype=bool)
+        for search in meeting.searches():
+            for at, near in search:
+                seen[at] = seen[near] = True
+        return meeting.table.select(["key", "class"]).filter(pa.array(seen))
+
+    return flagged
+
+
+def _joined(bound: int, fine_bound: int, percent: int):
+    """Confirmed links (a, b) between components, no more of a search than join its rows: at most rows less one."""
+
+    def joined(table: pa.Table) -> pa.Table:
+        meeting = _Meeting(table, bound, fine_bound)
+        lists = meeting.table.column("shingles").combine_chunks()
+        values, ends = lists.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+        shingles = lambda row: values[ends[row] : ends[row + 1]]
+        a, b = [], []
+        for search in meeting.searches():
+            for at, near in search:
+                for other in near.tolist():
+                    if meeting.group[at] != meeting.group[other] and _similar(shingles(at), shingles(other), percent):
+                        meeting.group[meeting.group == meeting.group[other]] = meeting.group[at]
+                        a.append(at)
+                        b.append(other)
+        nodes = meeting.table.column("class")
+        return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
+
+    return joined
+
+
+def _met(members: DataFrame, weight: Column, block: int, most: int) -> DataFrame:
+    """``members`` (key, class, component, ...) dealt so that any two of a key and of different components meet once.
+
+    The rows of a key's largest component needn't meet each other: they are dealt apart, and meet only the
+    blocks of the rest.  So where one component holds nearly all, the copies grow with the rows
+    and not with their square.  weight: of a row; a block holds about ``block`` of it and a task about ``most``.
+    Adds i, j, side (0 left, 1 right, 2 both) and task.
     """
-
-    def searched(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-        fine = table.column("fine").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        side = table.column("side").to_numpy()
-        group = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-        key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
-        change = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for low, high in zip([0, *change.tolist()], [*change.tolist(), table.num_rows], strict=True):
-            place = np.arange(low, high)
-            left, right = place[side[low:high] != 1], place[side[low:high] != 0]
-            for at in left.tolist():
-                others = right[(group[right] != group[at]) & ((side[right] == 1) | (right > at))]
-                near = others[np.bitwise_count(sketch[others] ^ sketch[at]).sum(axis=1) <= bound]
-                near = near[np.bitwise_count(fine[near] ^ fine[at]).sum(axis=1) <= fine_bound]
-                near = near[bands[at][(bands[near] == bands[at]).argmax(axis=1)] == key[low]] if len(near) else near
-                found_a.append(np.full(len(near), at))
-                found_b.append(near)
-        nodes = table.column("class")
-        return pa.table({"a": nodes.take(pa.array(np.concatenate(found_a))), "b": nodes.take(pa.array(np.concatenate(found_b)))})
-
-    return searched
+    weighed = members.withColumn("w", weight)
+    by_component = weighed.groupBy("key", "component").agg(F.sum("w").alias("w"))
+    sizes = by_component.groupBy("key").agg(F.max_by("component", F.struct("w", "component")).alias("largest"), F.max("w").alias("in_largest"), F.sum("w").alias("all"))
+    sizes = sizes.filter("all > in_largest").select(
+        "key", "largest", F.ceil(F.col("in_largest") / block).cast("int").alias("apart"), F.ceil((F.col("all") - F.col("in_largest")) / block).cast("int").alias("rest")
+    )
+    sizes = cut(sizes, "neardup-sizes")
+    apart = F.col("component") == F.col("largest")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.pmod(F.xxhash64("class"), F.when(apart, F.col("apart")).otherwise(F.col("rest"))).cast("int")
+    meets = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    # Blocks of the rest are 0, 1, ...; those of the largest component are -1, -2, ...
+    of_largest = F.transform(upto(F.col("rest")), lambda o: meets(-1 - F.col("at"), o, F.lit(0)))
+    of_rest = F.concat(
+        F.transform(upto(F.col("rest")), lambda o: meets(F.least("at", o), F.greatest("at", o), F.when(F.col("at") == o, 2).when(F.col("at") < o, 0).otherwise(1))),
+        F.transform(upto(F.col("apart")), lambda o: meets(-1 - o, F.col("at"), F.lit(1))),
+    )
+    placed = weighed.join(sizes, "key").withColumn("at", own).withColumn("m", F.explode(F.when(apart, of_largest).otherwise(of_rest)))
+    placed = placed.drop("at", "largest", "apart", "rest").select("*", "m.*").drop("m")
+    total = by_component.join(sizes, "key").agg(F.sum(F.col("w") * F.when(apart, F.col("rest")).otherwise(F.col("rest") + F.col("apart")))).head()[0] or 0
+    return placed.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(int(total) // most + 1))).drop("w")
 
 
 def _near(a: Column, b: Column, bound: int) -> Column:
@@ -271,27 +351,24 @@ def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     links = cut(_confirm(star, texts, size, percent), "neardup-links")
     grouped = components(links)
 
-    # Bands whose classes are still in several components, block against block.
+    # Bands whose classes are still in several components: who looks near, then exactly, block against block.
     label = shared.join(grouped.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     label = cut(label.select("key", "class", "component"), "neardup-labels")
-    split = label.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1")
-    split = cut(split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"), "n"), "neardup-split")
-    total = split.agg(F.sum(F.col("n") * F.col("n_blocks"))).head()[0] or 0
-    known = links
-    if total:
-        in_question = label.join(split.select("key"), "key").select("class").distinct()
-        wide = cut(texts.join(in_question, "class").mapInArrow(_finely(size), "class binary, fine array<long>"), "neardup-fine")
-        members = label.join(split, "key").join(classes.select("class", "sketch", "bands"), "class").join(wide, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
-        placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-            "key", "class", "component", "sketch", "fine", "bands",
-            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-        dealt = placed.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(total // (2 * BLOCK) + 1)))
-        more = dealt.groupBy("task").applyInArrow(_searched(bound, sketch_bound(percent, FINE_SAMPLES, FINE_BITS)), "a binary, b binary")
-        more = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-more")
-        known = links.unionByName(_confirm(more, texts, size, percent))
-    return signed, classes, known, shown
+    split = label.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    open_ = cut(label.join(split, "key"), "neardup-open")
+    if not open_.head(1):
+        return signed, classes, links, shown
+    fine_bound = sketch_bound(percent, FINE_SAMPLES, FINE_BITS)
+    wide = texts.join(open_.select("class").distinct(), "class").mapInArrow(_finely(size), "class binary, fine array<long>")
+    wide = cut(wide.join(classes.select("class", "sketch", "bands"), "class"), "neardup-fine")
+    dealt = _met(open_, F.lit(1), BLOCK, 2 * BLOCK).join(wide, "class")
+    near = dealt.groupBy("task").applyInArrow(_flagged(bound, fine_bound), "key long, class binary")
+    near = cut(near.distinct(), "neardup-near")
+    sets = cut(texts.join(near.select("class").distinct(), "class").mapInArrow(_shingled(size), "class binary, shingles array<long>"), "neardup-sets")
+    members = open_.join(near, ["key", "class"]).join(sets.select("class", F.size("shingles").alias("n")), "class")
+    dealt = _met(members, F.col("n") + FINE_BITS // 64, BLOCK_SHINGLES, 2 * BLOCK_SHINGLES).drop("n").join(wide, "class").join(sets, "class")
+    more = dealt.groupBy("task").applyInArrow(_joined(bound, fine_bound, percent), "a binary, b binary")
+    return signed, classes, links.unionByName(cut(more, "neardup-more")), shown
 
 
 def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
