@@ -3,6 +3,13 @@
 Part of the llm subpackage.  Each stage takes (spark, docs, sf_dir); it returns the columns of
 documents, and the last adds the token ids.  ``run`` writes each stage's result as Parquet in the
 shared folder and reads it back as the next one's input.
+
+Defined results, for every stage: an empty table stays empty; all columns of the input stay,
+whatever their names, and only the last stage adds some (``n_tokens`` and ``tokens``; a name that is taken
+gets ``bpe_`` in front).  A null, blank or letterless text is rejected by language ID; in the
+later stages a null text is no copy of anything, holds no secret, has size 0 and no tokens, and stays
+null.  Rows with a null id are kept by near-duplicates each; rows of one id are told apart by their
+texts, and of rows that repeat id and text one stays.  Ties go to the smaller id, then text hash.
 """
 
 from __future__ import annotations
@@ -12,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemflow.llm import bpe, langid, mixing, neardup, secrets
+from tandemflow.llm.names import free_name
 from tandemflow.llm.scratch import cut
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,18 +28,17 @@ TOKENIZER = "byte_bpe_50k.json"
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language ID rejects; the model is learned from the stage's own input."""
     model = langid.fit(docs)
-    return langid.predict(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    return langid.judge(docs, model).filter(~F.col("rejected")).select("lang_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (shingles of five words, similarity 0.8)."""
-    return neardup.deduplicate(docs).select(*docs.columns)
+    return neardup.deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by a mark; n_chars follows."""
-    clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +48,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds token ids and their number; the text is the one decoded from the ids."""
-    encoded = bpe.encode(docs, public_tokenizers.path(TOKENIZER))
-    n_tokens = F.size("tokens").cast("long").alias("n_tokens")
-    return encoded.select(*(F.col("decoded").alias(c) if c == "text" else c for c in docs.columns), n_tokens, "tokens")
+    rows = bpe.encoded_rows(docs, public_tokenizers.path(TOKENIZER))
+    text = F.when(F.col("bpe_row.text").isNotNull(), F.col("decoded"))
+    own = {"n_tokens": F.size("tokens").cast("long"), "tokens": F.col("tokens")}
+    added = (c.alias(free_name(name, docs.columns, "bpe_")) for name, c in own.items())
+    return rows.select(F.col("bpe_row").withField("text", text).alias("bpe_row"), *added).select("bpe_row.*", *(free_name(name, docs.columns, "bpe_") for name in own))
 
 
 STAGES = [

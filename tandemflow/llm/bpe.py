@@ -12,7 +12,7 @@ Nothing is shuffled.  A task holds one block of texts (``BLOCK_BYTES``, or one l
 merge table and a cache of pieces of bounded size.
 
 Defined results: a null text is encoded as an empty one; repeated rows are encoded alike; an
-empty table gives no rows; :func:`encode` carries all columns beside those it adds.
+empty table gives no rows; :func:`encode` carries all columns, whatever their names, beside those it adds.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
+from .names import free_name
 
 #: The pattern of byte-level BPE tokenizers, with Unicode's white space spelled out.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -250,10 +251,14 @@ def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return rows.mapInArrow(_run(docs, path, _digests), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "tokens", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with the ids of each text and the text decoded from them; columns of these names are replaced."""
-    kept = docs.drop(tokens, decoded)
-    rows = kept.select(F.struct("*").alias("bpe_row"), F.col(text).alias("bpe_text"))
+def encoded_rows(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Each row of ``docs`` as the struct bpe_row, with its text's ids (tokens) and the text decoded from them (decoded)."""
+    rows = docs.select(F.struct("*").alias("bpe_row"), F.col(text).alias("bpe_text"))
     kind = rows.schema["bpe_row"].dataType.simpleString()
-    out = rows.mapInArrow(_run(docs, path, _columns), f"bpe_row {kind}, tokens array<int>, decoded string")
-    return out.select("bpe_row.*", F.col("tokens").alias(tokens), F.col("decoded").alias(decoded))
+    return rows.mapInArrow(_run(docs, path, _columns), f"bpe_row {kind}, tokens array<int>, decoded string")
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "tokens", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of each text and the text decoded from them; an own name that ``docs`` has gets ``bpe_`` in front."""
+    own = (F.col(c).alias(free_name(name, docs.columns, "bpe_")) for c, name in (("tokens", tokens), ("decoded", decoded)))
+    return encoded_rows(docs, path, text).select("bpe_row.*", *own)

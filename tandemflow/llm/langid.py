@@ -3,26 +3,29 @@
 A text is the average of the embeddings of its subwords: the words, and the byte n-grams of each
 word between marks, hashed into ``BUCKETS`` rows.  A linear softmax over the average gives the
 languages.  Both layers are trained together by stochastic gradient descent in numpy on a bounded
-sample of labelled texts (``SAMPLE`` for each language, whole texts, chosen by a hash of the id);
-executors make the features, so the driver gets bucket counts and no text.  A part of the sample
+sample of labelled texts (at most ``SAMPLE`` for each language and ``TOTAL`` for all, but one of each
+language at least, chosen by a hash of id and text); every language of the labels is learned.
+Executors make the features of whole texts, so the driver gets bucket weights and no text, of a text
+the ``FEATURES`` heaviest.  A part of the sample
 sets the softmax temperature and the confidence below which a prediction is rejected: the
 quantile that keeps all but ``COST`` of the rightly predicted texts, and of their first ``SHORT``
 words, as a few words are predicted less surely than a whole text.
 
-As everything behind the embeddings is linear, the model is folded into one row of language
-scores for each bucket, of a fixed size, which is sent to the executors.  Prediction is one Arrow
-pass over whole texts without a shuffle; each distinct word of a block is scored once.
+As everything behind the embeddings is linear, the model is sent as one row for each bucket: its
+language scores, or its embedding where there are more languages than dimensions, so its size
+doesn't grow with the labels.  Prediction is one Arrow pass over whole texts without a shuffle;
+each distinct word of a block is scored once.
 
 Defined results: a text that is null or has no letter gets ``und``, score 0, and is rejected; a
 null id isn't held out and, like rows without a language, never learned from; without any
 labelled row everything is ``und``; repeated rows are predicted alike; an empty table gives no
-rows; :func:`predict` carries all columns, and replaces those of the names it adds.
+rows; :func:`predict` carries all columns, and puts ``new_`` before an own name that is taken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernels as K
+from .names import free_name
+from .scratch import cut
 
-BUCKETS, DIM = 1 << 16, 16
+#: Dimensions of an embedding, for few languages and at most.
+BUCKETS, DIM, MOST_DIM = 1 << 16, 16, 48
 GRAMS = (2, 3, 4)
-#: Labelled texts learned from, for each of the most frequent languages; every CALIBRATE-th of them calibrates.
-SAMPLE, LANGUAGES, CALIBRATE = 600, 200, 5
+#: Labelled texts learned from, for each language and for all, and their heaviest buckets; every CALIBRATE-th text calibrates.
+SAMPLE, TOTAL, FEATURES, CALIBRATE = 600, 4800, 1 << 14, 5
 EPOCHS, BATCH, RATE = 6, 16, 0.5
 #: Part of rightly predicted calibration texts, and of their first SHORT words, that rejection may cost.
 COST, SHORT = 0.002, 5
@@ -92,41 +98,47 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.repeat(bounds[own] - np.cumsum(np.r_[0, sizes])[:-1], sizes) + np.arange(sizes.sum())
             total = np.bincount(bucket[at], np.repeat(n, sizes), BUCKETS) if len(at) else np.zeros(BUCKETS)
             some = np.flatnonzero(total)
+            if len(some) > FEATURES:
+                some = np.sort(some[np.argpartition(-total[some], FEATURES)[:FEATURES]])
             lists.append(some.astype(np.int32))
-            weights.append((total[some] / max(total.sum(), 1)).astype(np.float32))
+            weights.append((total[some] / max(total[some].sum(), 1)).astype(np.float32))
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), batch.column("short"), pa.array(lists, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["lang", "order", "short", "buckets", "weights"])
 
 
 @dataclass(frozen=True)
 class Model:
-    """Language scores of each bucket, the bias, the softmax temperature and the least confidence that isn't rejected."""
+    """A row of each bucket, the softmax layer over rows, its bias, its temperature and the least confidence that isn't rejected."""
 
     languages: tuple[str, ...]
-    scores: np.ndarray
+    rows: np.ndarray
+    out: np.ndarray
     bias: np.ndarray
     temperature: float
     least: float
 
     def chances(self, average: np.ndarray) -> np.ndarray:
-        z = (average + self.bias) / self.temperature
+        z = (average @ self.out + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, order, text): at most ``per_language`` labelled texts of each of ``LANGUAGES`` languages that aren't held out.
+def sample(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", total: int = TOTAL) -> DataFrame:
+    """(lang, order, text): at most ``per_language`` labelled texts of each language, and ``total`` of all, that aren't held out.
 
-    Ids are ranked without their texts, and each task keeps no more than ``per_language`` of a
-    language before anything is sent; the ids chosen are so few that the texts stay where they are.
+    Repeated rows count once.  Each language's rows are cut by a bound of their hash, set by its number of
+    distinct rows, to about twice what is wanted before any is ordered, so that no task orders more.
     """
     usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))
-    rows = docs.filter(usable).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang").collect()]
-    order = F.xxhash64(F.col("id").cast("string"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
-    chosen = rows.filter(F.col("lang").isin(names)).select("id", "lang", order.alias("order")).withColumn("nth", nth).filter(F.col("nth") <= per_language)
-    # At most per_language * LANGUAGES ids.
-    return rows.join(F.broadcast(chosen.select("id", "lang", "order").distinct()), ["id", "lang"]).select("lang", "order", "text")
+    rows = docs.filter(usable).select(F.xxhash64(F.col(doc_id).cast("string"), text).alias("order"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # At most twice the wanted rows and 64 are expected below the bound, and far too few by no chance worth naming.
+    distinct = cut(rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n")), "langid-languages")
+    wanted = min(per_language, max(1, total // max(1, distinct.count())))
+    share = F.least(F.lit(float(2 * wanted + 64)) / F.col("n"), F.lit(1.0))
+    below = rows.select("lang", "order").join(distinct, "lang").filter((F.shiftrightunsigned("order", 11) / float(1 << 53)) <= share)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    chosen = below.select("lang", "order").distinct().withColumn("nth", nth).filter(F.col("nth") <= wanted).select("lang", "order")
+    # At most ``total`` rows, or one for each language.
+    return rows.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"])
 
 
 def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,8 +164,9 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", tex
     if calibrating.all():
         calibrating[:] = False
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.1, (BUCKETS, DIM))
-    out, bias = rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages))
+    dim = min(MOST_DIM, max(DIM, len(languages) // 4))
+    embedding = rng.normal(0, 0.1, (BUCKETS, dim))
+    out, bias = rng.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
     learning = np.flatnonzero(~calibrating)
     share = np.bincount(y[learning], minlength=len(languages))
     balance = len(learning) / (len(languages) * np.maximum(share, 1))
@@ -167,7 +180,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", tex
             which = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])
             owner = np.repeat(np.arange(len(rows)), bounds[rows + 1] - bounds[rows])
             bucket, weight = ids[which], weights[which]
-            average = np.zeros((len(rows), DIM))
+            average = np.zeros((len(rows), dim))
             np.add.at(average, owner, embedding[bucket] * weight[:, None])
             z = average @ out + bias
             chance = np.exp(z - z.max(axis=1, keepdims=True))
@@ -179,19 +192,19 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, doc_id: str = "doc_id", tex
             bias -= rate * chance.sum(axis=0) / len(rows)
             # An average is over hundreds of subwords: their steps are scaled up by as many.
             np.add.at(embedding, bucket, -rate * 20 * back[owner] * weight[:, None])
-    scores = embedding @ out
-    model = Model(languages, scores, bias, 1.0, 0.0)
+    folded = len(languages) <= embedding.shape[1]
+    embedding, out = (embedding @ out, np.eye(len(languages))) if folded else (embedding, out)
+    model = Model(languages, embedding, out, bias, 1.0, 0.0)
     rows = np.flatnonzero(calibrating) if calibrating.any() else learning
-    averaged = lambda bounds, ids, weights: np.stack([weights[bounds[r] : bounds[r + 1]] @ scores[ids[bounds[r] : bounds[r + 1]]] for r in rows])
+    averaged = lambda bounds, ids, weights: np.stack([weights[bounds[r] : bounds[r + 1]] @ embedding[ids[bounds[r] : bounds[r + 1]]] for r in rows])
     average = averaged(bounds, ids, weights)
-    loss = lambda t: -np.log(np.maximum(Model(languages, scores, bias, t, 0).chances(average)[np.arange(len(rows)), y[rows]], 1e-12)).mean()
-    temperature = min(np.geomspace(0.2, 5, 40), key=loss)
-    model = Model(languages, scores, bias, float(temperature), 0.0)
+    loss = lambda t: -np.log(np.maximum(replace(model, temperature=t).chances(average)[np.arange(len(rows)), y[rows]], 1e-12)).mean()
+    model = replace(model, temperature=float(min(np.geomspace(0.2, 5, 40), key=loss)))
     least = []
     for chance in (model.chances(average), model.chances(averaged(*_lists(openings)))):
         confident = np.sort(chance.max(axis=1)[chance.argmax(axis=1) == y[rows]])
         least.append(float(confident[int(COST * len(confident))]) if len(confident) else 0.0)
-    return Model(languages, scores.astype(np.float32), bias, float(temperature), min(least))
+    return replace(model, rows=embedding.astype(np.float32), least=min(least))
 
 
 def _predictor(model):
@@ -210,9 +223,9 @@ def _predictor(model):
                 size = int(word.max(initial=-1)) + 1
                 count = np.bincount(word, minlength=size).astype(float)
                 total = np.diff(np.r_[0, np.cumsum(count[code])][first])
-                average = np.empty((n, len(m.languages)))
-                for j in range(len(m.languages)):
-                    of_word = np.bincount(word, m.scores[bucket, j], size)
+                average = np.empty((n, m.rows.shape[1]))
+                for j in range(m.rows.shape[1]):
+                    of_word = np.bincount(word, m.rows[bucket, j], size)
                     average[:, j] = np.diff(np.r_[0, np.cumsum(of_word[code])][first]) / np.maximum(total, 1)
                 chance = m.chances(average)
                 best, score = chance.argmax(axis=1), chance.max(axis=1)
@@ -225,14 +238,18 @@ def _predictor(model):
     return predicted
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (calibrated confidence, 0 to 1) and rejected."""
-    kept = docs.drop("lang_pred", "score", "rejected")
-    rows = kept.select(F.struct("*").alias("lang_row"), F.col(text).alias("lang_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lang_known"))
+def judge(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """Each row of ``docs`` as the struct lang_row, with lang_pred, score (calibrated confidence, 0 to 1) and rejected."""
+    rows = docs.select(F.struct("*").alias("lang_row"), F.col(text).alias("lang_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lang_known"))
     kind = rows.schema["lang_row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, whatever the corpus
-    out = rows.mapInArrow(_predictor(shared), f"lang_row {kind}, lang_pred string, score double, rejected boolean")
-    return out.select("lang_row.*", "lang_pred", "score", "rejected")
+    return rows.mapInArrow(_predictor(shared), f"lang_row {kind}, lang_pred string, score double, rejected boolean")
+
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and rejected; an own name that ``docs`` has gets ``new_`` in front."""
+    own = (F.col(c).alias(free_name(c, docs.columns, "new_")) for c in ("lang_pred", "score", "rejected"))
+    return judge(docs, model, text).select("lang_row.*", *own)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

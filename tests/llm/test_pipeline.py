@@ -60,3 +60,31 @@ def test_registered():
     names = list(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert "pipeline" in names
+
+
+def test_stages_on_odd_rows(spark, odd_docs, no_docs):
+    """Columns of names that stages use inside or add stay as they are; nulls, repeats and empty tables pass."""
+    names = {c: F.lit("mine") for c in ("tokens", "n_tokens", "decoded", "lang_pred", "bpe_row", "mix_row", "scan_row", "dedup_row", "lang_row", "Text_Hash")}
+    for docs in (odd_docs.withColumns(names), no_docs.withColumns(names)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF_DIR)
+            own = ["bpe_n_tokens", "bpe_tokens"] if name == "bpe_round_trip" else []
+            assert out.columns == docs.columns + own, name
+            rows = out.collect()
+            assert all(r[c] == "mine" for r in rows for c in names), name
+            assert all(r["score"] == "x" for r in rows), name
+            if name == "language_id":
+                assert all(r["text"] and any(c.isalpha() for c in r["text"]) for r in rows)
+            elif name in ("secret_scan", "bpe_round_trip"):
+                assert len(rows) == n
+                assert sum(r["text"] is None for r in rows) == (3 if n else 0)
+            if name == "bpe_round_trip":
+                assert all(r["bpe_n_tokens"] == len(r["bpe_tokens"]) for r in rows)
+
+
+def test_run_keeps_other_columns(spark, sf_docs, tmp_path):
+    sf_docs.withColumn("tokens", F.lit("mine")).withColumn("score", F.lit(-7.0)).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*sf_docs.columns, "tokens", "score", "n_tokens", "bpe_tokens"]
+    assert [tuple(r) for r in out.select("tokens", "score").distinct().collect()] == [("mine", -7.0)]

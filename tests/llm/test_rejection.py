@@ -24,3 +24,29 @@ def test_junk_goes_and_short_texts_stay(spark, known):
     assert gone(junk) >= 0.9
     assert gone(short) <= 0.03
     assert gone([r["text"] for r in fresh]) <= 0.02
+
+
+def test_hot_row_fills_no_sample(spark):
+    hot = spark.range(20000).select(F.lit(4).alias("doc_id"), F.lit("en").alias("lang"), F.lit("the same words again").alias("text"))
+    rest = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("words of number "), F.col("id").cast("string")).alias("text"))
+    taken = langid.sample(hot.unionByName(rest), 600)
+    assert taken.count() == 600
+    assert taken.filter("text = 'the same words again'").count() <= 1
+    assert langid.sample(hot, 600).count() == 1
+
+
+def test_many_languages_are_all_learned(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(3, 8)))
+    rows = []
+    for n in range(300):
+        own = [word() for _ in range(40)]
+        rows += [(30 * n + k, f"l{n:03}", " ".join(rng.choice(own) for _ in range(60))) for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 300
+    assert model.rows.nbytes <= 4 * langid.BUCKETS * langid.MOST_DIM
+    judged = langid.predict(docs.filter(langid.held_out(F.col("doc_id"))), model)
+    right, n, of = judged.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*"), F.count_distinct("lang_pred")).head()
+    assert n > 1000
+    assert (right, of) >= (0.97, 290)

@@ -67,7 +67,9 @@ def test_language_odd(odd_docs, no_docs, odd_rows):
     assert all((r["lang_pred"] == "und") == (r["doc_id"] in unknown) for r in out if r["doc_id"] is not None)
     assert langid.identify(no_docs).collect() == []
     assert {r["lang_pred"] for r in langid.predict(odd_docs, None).collect()} == {"und"}
-    assert langid.predict(odd_docs, langid.fit(odd_docs)).columns[: len(odd_docs.columns) - 2] == [c for c in odd_docs.columns if c not in ("score", "rejected")]
+    judged = langid.predict(odd_docs, langid.fit(odd_docs))
+    assert judged.columns == [*odd_docs.columns, "lang_pred", "new_score", "new_rejected"]
+    assert {r["score"] for r in judged.collect()} == {"x"}
 
 
 def test_bpe_against_library():
