@@ -12,7 +12,8 @@ by a hash of their ids, whole texts, brought to the driver as bucket weights.  T
 size; scoring is one Arrow pass over whole texts of all documents, without a shuffle.
 
 Defined results: a null text is empty; null metadata is a value of its own; a label that is null or
-whose document is missing is not used; several labels of one id count as rows; with labels of
+whose document is missing is not used; labels of one id count once, and not at all if they disagree; of
+rows that share an id one is learned from; with labels of
 fewer than two classes every score is that class's share, 0.5 without any; a null id is scored
 like any other; repeated rows are scored alike; an empty table gives no rows.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
+from .scratch import cut
 
 LABELLED, POOL = 3000, 3000
 ROUNDS, GIVEN, CONFIDENT = 5, 60, 0.95
@@ -208,15 +210,22 @@ def _sparse(table: pa.Table, features: str, weights: str) -> tuple[np.ndarray, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", label: str = "quality") -> Model:
-    """A model from at most ``labelled`` labelled and ``pool`` unlabelled documents."""
-    order = F.xxhash64(F.col(doc_id), F.lit("quality"))
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
-    given = known.orderBy(F.xxhash64("id", F.lit("quality")), "id", "label").limit(labelled)
-    free = docs.select(F.col(doc_id).alias("id")).filter("id IS NOT NULL").orderBy(F.xxhash64("id", F.lit("pool")), "id").limit(pool)
-    # At most labelled + pool ids: the documents' texts aren't shuffled to pick them.
-    taken = given.unionByName(free.join(known.select("id").distinct(), "id", "left_anti").distinct().withColumn("label", F.lit(-1)))
-    rows = docs.select(F.col(doc_id).alias("id"), order.alias("order"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang"))
-    rows = rows.join(F.broadcast(taken), "id").select("order", "label", "text", F.col("source").cast("string"), F.col("lang").cast("string"))
+    """A model from at most ``labelled`` labelled and ``pool`` unlabelled documents, one row of each id.
+
+    Ids are chosen among those that the documents have; labelled ids never take up room of the pool.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
+    known = known.select("id", F.when(F.col("label") == F.col("other"), F.col("label")).alias("label"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang")).filter("id IS NOT NULL")
+    rows = rows.withColumn("row", F.xxhash64("text", "source", "lang"))
+    # Ids and hashes alone are shuffled; an id of many rows is one row before the shuffle.
+    ids = cut(rows.groupBy("id").agg(F.min("row").alias("row")).join(known.withColumn("known", F.lit(True)), "id", "left"), "quality-ids")
+    first = lambda which, n, salt: which.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n)
+    given = first(ids.filter("label IS NOT NULL"), labelled, "quality").select("id", "row", "label")
+    free = first(ids.filter("known IS NULL"), pool, "pool").select("id", "row", F.lit(-1).alias("label"))
+    # At most labelled + pool rows.
+    taken = F.broadcast(cut(given.unionByName(free), "quality-taken"))
+    rows = rows.join(taken, ["id", "row"]).dropDuplicates(["id"]).select(F.xxhash64("id", F.lit("quality")).alias("order"), "label", "text", "source", "lang")
     table = rows.mapInArrow(_viewed, "order long, label int, cf array<int>, cw array<double>, mf array<int>, mw array<double>").toArrow()
     table = table.sort_by([("order", "ascending"), ("label", "ascending")]) if table.num_rows else table
     if not table.num_rows:

@@ -1,7 +1,8 @@
 """URL filters: domain rules first, then a logistic regression on hashed character n-grams.
 
 The model sees the n-grams of a url's host and of its path in one hashed space (each side with
-its own salt) and is trained by full-batch gradient descent from a small labelled table, so the
+its own salt) and is trained by full-batch gradient descent from a small labelled table (``TABLE_SIZE``
+urls to leave out and twice as many to keep, on ten domain ends, made from word lists by a rule), so the
 driver holds ``2 ** BITS`` weights whatever the number of urls.  Scoring is one Arrow pass.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, matches no rule
@@ -41,25 +42,48 @@ RULES = (
     Rule("com", "/de/", "block"),
 )
 
-#: Training table, fixed values: urls that a corpus keeps, and urls that it leaves out.
-KEPT_URLS = """
-https://www.library.example.net/en/books/history-of-rivers https://news.example.net/2021/03/city-council-meeting
-https://docs.example.net/guide/installation.html https://blog.example.net/en/22309.html https://www.museum.example.net/collection/oil-paintings
-https://university.example.net/research/papers/4411 https://m.weather.example.net/en/6866 https://recipes.example.net/fr/soupe-aux-legumes
-https://health.example.net/articles/sleep-and-memory https://forum.example.net/thread/how-to-repair-a-bicycle https://wiki.example.net/de/Geographie
-https://travel.example.net/es/guia-de-montana http://gardening.example.net/en/41096#roses https://science.example.net/physics/lecture-notes
-https://www.journal.example.net/fr/44190?page=2 https://open.example.net/data/population/2019 https://music.example.net/de/17820/konzert
-https://school.example.net/lessons/fractions https://government.example.net/en/laws/water https://magazine.example.net/en/34387/
+#: What the training table's urls are made of.  Words of sites that a corpus keeps, ...
+KEPT_WORDS = """
+library news docs blog museum university weather recipes health forum wiki travel gardening science journal open music school government magazine
+history rivers city council guide install collection paintings research papers articles sleep memory repair bicycle geography mountain roses physics
+lecture data population concert lessons fractions laws water kitchen bread football theatre poetry astronomy biology chemistry language grammar
 """.split()
-LEFT_URLS = """
-http://casino-bonus.example.net/free-spins-jackpot http://win-poker-now.example.net/slots?ref=x https://cheap-pills.example.net/buy-viagra-online
-http://xxx-adult-cams.example.net/porn/free http://torrent-warez.example.net/crack-keygen-download http://click-track.example.net/ads/banner?utm_source=spam
-http://loan-fast-cash.example.net/apply-now-bonus http://hot-sex-dating.example.net/adult/signup http://free-crypto-doubler.example.net/bitcoin-giveaway
-http://replica-watches.example.net/cheap-outlet-sale http://betting-tips.example.net/sportsbook-bonus http://nude-pics.example.net/xxx/gallery
-http://account-verify-login.example.net/secure/password-update http://seo-backlinks.example.net/buy-links-cheap http://spam-coupon.example.net/deal/discount-codes
-http://pirate-stream.example.net/watch-free-movies-hd http://escort-girls.example.net/adult/list http://miracle-diet-pills.example.net/lose-weight-fast
-http://doorway.example.net/keyword-stuffing/cheap-cheap-cheap http://lottery-winner.example.net/claim-prize-now
+#: ... of sites that it leaves out, ...
+LEFT_WORDS = """
+casino poker slots jackpot betting bets sportsbook lottery winner win bonus gambling roulette pills viagra cheap pharmacy diet miracle replica
+adult porn xxx sex nude cams escort dating torrent warez crack keygen pirate loan payday crypto giveaway doubler spam farm
+backlinks seo doorway clickbait ads adserver banner track tracker popup coupon discount deals free spins login-verify account-update phishing
 """.split()
+#: ... sounds of names that say nothing, and what urls of both kinds have around them.
+ONSETS = "b c d f g h j k l m n p r s t v w y z th sh ch st tr br cl gr pl fr sp qu wh".split()
+CORES = "a e i o u ea ou ai io".split()
+CODAS = ("", "", "", "n", "r", "s", "t", "l", "ng", "nd", "ly", "on", "ed", "re")
+FRONTS = ("", "", "", "www.", "m.", "blog.", "en.", "shop.")
+ENDS = (".com", ".org", ".net", ".example.com", ".example.org", ".example.net", ".de", ".co.uk", ".info", ".edu")
+PATHS = ("/", "/en/{n}", "/de/{n}", "/fr/{n}/", "/es/{n}", "/{w}", "/{w}/{n}", "/{w}-{v}.html", "/en/{w}", "/{n}/{w}/", "/{w}?page={n}", "/index.html")
+TABLE_SIZE = 600
+
+
+def training_table(size: int = TABLE_SIZE, seed: int = 11) -> tuple[list[str], list[str]]:
+    """(kept, left): ``2 * size`` and ``size`` labelled urls, drawn from the words above by a seeded generator.
+
+    Two thirds of the kept urls have hosts and paths of meaningless names, so that a url without any word of either
+    list is kept.  Every left url has words of its kind in its host, half of them in the path as well.
+    """
+    rng = np.random.default_rng(seed)
+    of = lambda words: words[rng.integers(len(words))]
+    name = lambda: "".join(of(ONSETS) + of(CORES) + of(CODAS) for _ in range(rng.integers(1, 4)))
+
+    def url(words: list[str] | None, in_path: bool) -> str:
+        word = (lambda: of(words)) if words else name
+        label = word() if rng.random() < 0.3 else f"{word()}-{word()}" if rng.random() < 0.6 else f"{word()}{rng.integers(1, 99)}"
+        middle = f"{name()}." if rng.random() < 0.2 else ""
+        inner = word if in_path else name
+        path = of(PATHS).format(n=rng.integers(1, 99999), w=inner(), v=inner())
+        return f"{of(('http', 'https'))}://{of(FRONTS)}{label}.{middle}{of(ENDS)[1:]}{path}"
+
+    kept = [url(None if i % 3 else KEPT_WORDS, i % 2 == 0) for i in range(2 * size)]
+    return kept, [url(LEFT_WORDS, i % 2 == 0) for i in range(size)]
 
 
 def host_of(url: Column) -> Column:
@@ -110,8 +134,10 @@ def split_url(url: str) -> tuple[str, str]:
     return host.lower(), slash + path
 
 
-def train(kept: list[str] = KEPT_URLS, left: list[str] = LEFT_URLS, steps: int = 400, rate: float = 2.0, decay: float = 1e-3) -> np.ndarray:
-    """Weights, the bias last; the score is the chance that a url is to be left out."""
+def train(kept: list[str] | None = None, left: list[str] | None = None, steps: int = 1000, rate: float = 10.0, decay: float = 2e-5) -> np.ndarray:
+    """Weights, the bias last; the score is the chance that a url is to be left out. Default: the training table."""
+    if kept is None or left is None:
+        kept, left = training_table()
     hosts, paths = zip(*map(split_url, [*kept, *left]), strict=True)
     row, bucket, value = features(list(hosts), list(paths))
     y = np.r_[np.zeros(len(kept)), np.ones(len(left))]

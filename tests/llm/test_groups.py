@@ -148,16 +148,58 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).collect() == []
 
 
-def test_url_model_leaves_one_out():
-    kept, left = urls.KEPT_URLS, urls.LEFT_URLS
-    right = 0
-    for i in range(5):
-        w = urls.train(kept[:i] + kept[i + 1 :], left[:i] + left[i + 1 :])
-        for u, bad in ((kept[i], False), (left[i], True)):
-            h, p = urls.split_url(u)
-            row, bucket, value = urls.features([h], [p])
-            right += ((w[bucket] * value).sum() + w[-1] > 0) == bad
-    assert right >= 8
+def scores_of(weights: np.ndarray, found: list[str]) -> np.ndarray:
+    """The model by its definition: n-grams one by one."""
+    out = []
+    for u in found:
+        z = weights[-1]
+        for text, salt in zip(urls.split_url(u), (1, 2), strict=True):
+            raw = f"^{text}$".encode()
+            grams = []
+            for n in urls.GRAMS:
+                for i in range(len(raw) - n + 1):
+                    h = salt * 31 + n
+                    for c in raw[i : i + n]:
+                        h = (h * 0x100000001B3 & (1 << 64) - 1) ^ c
+                    grams.append((h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - urls.BITS)
+            z += sum(weights[g] for g in grams) / max(len(grams), 1) ** 0.5
+        out.append(1 / (1 + np.exp(-z)))
+    return np.array(out)
+
+
+def test_url_model_on_held_out_urls(spark):
+    kept, left = urls.training_table()
+    assert len(left) >= 300
+    right = []
+    for fold in (0, 1):
+        w = urls.train([u for i, u in enumerate(kept) if i % 5 != fold], [u for i, u in enumerate(left) if i % 5 != fold])
+        aside = [u for i, u in enumerate(kept) if i % 5 == fold], [u for i, u in enumerate(left) if i % 5 == fold]
+        right.append([(scores_of(w, aside[0]) < 0.5).mean(), (scores_of(w, aside[1]) >= 0.5).mean()])
+    assert np.mean(right, axis=0)[0] >= 0.98
+    assert np.mean(right, axis=0)[1] >= 0.8
+    some = [u for u in kept[:150] + left[:150] if not judged(u)[2]]
+    w = urls.train()
+    rows = urls.filter_urls(spark.createDataFrame(list(enumerate(some)), "page_id long, url string"), weights=w).collect()
+    got, want = {r["page_id"]: r for r in rows}, scores_of(w, some)
+    assert [got[i]["score"] for i in range(len(some))] == pytest.approx(want)
+    assert [got[i]["verdict"] == "block" for i in range(len(some))] == (want >= 0.5).tolist()
+
+
+def test_nearest_with_repeated_ids(spark):
+    """Rows of one id are one candidate, by the nearest vector, and one query, of the smallest."""
+    x = np.random.default_rng(4).normal(size=(40, 4)).astype(np.float32)
+    ids = [i // 2 for i in range(40)]
+    rows = [(i, v.tolist(), 0) for i, v in zip(ids, x, strict=True)] * 2
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), F.col("vec_id") % 5 == 0, shard_rows=15).collect()
+    d = x.astype(np.float64)
+    for q in (0, 5, 10, 15):
+        vector = min(d[2 * q].tolist(), d[2 * q + 1].tolist())
+        far = np.sqrt(((d - vector) ** 2).sum(axis=1)).reshape(-1, 2).min(axis=1)
+        want = sorted((far[i], i) for i in range(20) if i != q)[:10]
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        assert [g[:2] for g in got] == [(n, i) for n, (_, i) in enumerate(want, 1)]
+        assert [g[2] for g in got] == pytest.approx([s for s, _ in want], abs=1e-12)
+    assert len(found) == 40
 
 
 def vectors_of(spark, x, extra=()):
@@ -244,6 +286,42 @@ def test_quality(spark):
     assert sum((q == 1) == k for q, k in held) / len(held) > 0.95
 
 
+def test_cotraining_beats_labels_alone():
+    """Views that are independent given the class: pseudo-labels lift what a few labels give."""
+    rng = np.random.default_rng(12)
+    n, size = 1200, 60
+    y = rng.integers(0, 2, n)
+
+    def view(of: int):
+        seen = np.where(rng.random((n, 6)) < 0.7, rng.integers(0, size // 2, (n, 6)) + (size // 2) * y[:, None], rng.integers(0, size, (n, 6)))
+        return np.repeat(np.arange(n), 6), seen.ravel(), np.ones(6 * n)
+
+    views = view(quality.CONTENT), view(quality.METADATA)
+    given = np.full(n, -1)
+    given[:40] = y[:40]
+    right = {}
+    for rounds in (0, quality.ROUNDS):
+        model = quality.cotrain(*views, given, rounds=rounds)
+        right[rounds] = ((model.score(*views, n) >= 0.5) == (y == 1))[40:].mean()
+        each = [((v.raw(*x, n) >= 0) == (y == 1))[40:].mean() for v, x in zip((model.content, model.metadata), views, strict=True)]
+    assert right[quality.ROUNDS] > right[0]
+    assert right[quality.ROUNDS] >= max(each) - 0.01
+
+
+def test_quality_sample_is_bounded(spark):
+    rows = [(1, f"a text {i}", "s", "en") for i in range(3000)] + [(i, f"other words {i} " * (i % 3 + 1), "s", "en") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    seen = []
+    plain, quality.cotrain = quality.cotrain, lambda *a, **k: seen.append(len(a[2])) or plain(*a, **k)
+    try:
+        quality.fit(docs, labels, labelled=40, pool=30)
+        quality.fit(docs, labels.filter("doc_id < 30"), labelled=40, pool=30)
+    finally:
+        quality.cotrain = plain
+    assert seen == [40, 59]
+
+
 def test_quality_odd(spark, odd_docs, no_docs, odd_rows):
     labels = spark.createDataFrame([(6, 1, 0), (7, 1, 0), (3, 0, 0), (4, 0, 1), (None, 1, 0), (5, None, 0), (99999, 0, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify(odd_docs, labels).collect()
