@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .running import binned, running, running_min
@@ -40,10 +40,18 @@ def roc(df: DataFrame, keys: list[str], threshold: str = "threshold", method: st
 
 
 def roc_edges(curve: DataFrame, keys: list[str], threshold: str = "threshold") -> DataFrame:
-    """Points where the decoy count differs from that before or after, per key."""
-    w = Window.partitionBy(*keys).orderBy(F.col(threshold).desc())
-    changed = (F.col("decoy") != F.lag("decoy").over(w)) | (F.col("decoy") != F.lead("decoy").over(w))
-    return curve.withColumn("_edge", F.coalesce(changed, F.lit(False))).filter("_edge").drop("_edge")
+    """Points where the decoy count differs from that before or after, per key.
+
+    Decoy counts don't fall along the curve, so a point has no neighbour of its count on a side if it
+    is the first or the last of all points of that count: an aggregation by count, no ordering.
+    """
+    ends = curve.groupBy(*keys, "decoy").agg(F.max(threshold).alias("_first"), F.min(threshold).alias("_last"))
+    whole = curve.groupBy(*keys).agg(F.max(threshold).alias("_best"), F.min(threshold).alias("_worst"))
+    joined = curve.join(ends, [*keys, "decoy"])
+    joined = joined.join(whole, keys) if keys else joined.crossJoin(F.broadcast(whole))  # one row
+    first = (F.col(threshold) == F.col("_first")) & (F.col(threshold) != F.col("_best"))
+    last = (F.col(threshold) == F.col("_last")) & (F.col(threshold) != F.col("_worst"))
+    return joined.filter(first | last).select(*curve.columns)
 
 
 def roc_min(curve: DataFrame, keys: list[str], threshold: str = "threshold") -> DataFrame:

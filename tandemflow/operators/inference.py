@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialised
 
-def samesets(items: DataFrame, holder: str = "protein_id", item: str = "peptide_id") -> DataFrame:
-    """(set_id, items, members): holders of equal item sets are one set, named by the smallest."""
+
+def samesets(items: DataFrame, holder: str = "protein_id", item: str = "peptide_id", members: bool = True) -> DataFrame:
+    """(set_id, items, n_members, members): holders of equal item sets are one set, named by the smallest.
+
+    members: with all holders as an array, which any number of holders can share; else they are only counted.
+    """
+    sets = items.groupBy(holder).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    of_set = [F.min(holder).alias("set_id"), F.count("*").alias("n_members")] + ([F.array_sort(F.collect_list(holder)).alias("members")] if members else [])
+    return sets.groupBy("items").agg(*of_set).select("set_id", "items", "n_members", *(["members"] if members else []))
+
+
+def representatives(items: DataFrame, holder: str = "protein_id", item: str = "peptide_id") -> DataFrame:
+    """(set_id, holder): the set that each holder belongs to; no set's holders are gathered."""
     sets = items.groupBy(holder).agg(F.array_sort(F.collect_set(item)).alias("items"))
-    return sets.groupBy("items").agg(F.min(holder).alias("set_id"), F.array_sort(F.collect_list(holder)).alias("members")).select("set_id", "items", "members")
+    return sets.join(sets.groupBy("items").agg(F.min(holder).alias("set_id")), "items").select("set_id", holder)
 
 
 def set_items(sets: DataFrame) -> DataFrame:
@@ -44,14 +56,14 @@ def subsumable(sets: DataFrame, subsets: DataFrame) -> DataFrame:
 
 def infer(items: DataFrame, holder: str = "protein_id", item: str = "peptide_id", keep_subsumable: bool = True) -> DataFrame:
     """One row per set: set_id (its representative), n_items, n_members, n_specific and status."""
-    sets = samesets(items, holder, item)
-    subsets = strict_subsets(sets)
+    sets = materialised(samesets(items, holder, item, members=False), "samesets")
+    subsets = materialised(strict_subsets(sets), "subsets")
     inside = subsets.select(F.col("subset_id").alias("set_id")).distinct().withColumn("in_other", F.lit(True))
     loose = subsumable(sets, subsets).withColumn("loose", F.lit(True))
     own = set_items(sets).groupBy("set_id").agg(F.count_if(F.col("n_sets") == 1).alias("n_specific"))
     status = F.when(F.col("in_other"), "subset").when(F.col("loose"), "subsumable").otherwise("main")
     out = sets.join(inside, "set_id", "left").join(loose, "set_id", "left").join(own, "set_id")
-    out = out.select("set_id", F.size("items").cast("long").alias("n_items"), F.size("members").cast("long").alias("n_members"), "n_specific", status.alias("status"))
+    out = out.select("set_id", F.size("items").cast("long").alias("n_items"), "n_members", "n_specific", status.alias("status"))
     return out if keep_subsumable else out.filter("status <> 'subsumable'")
 
 

@@ -13,6 +13,13 @@ def aggregate(psms: DataFrame, key: list[str], child: str = "rs_id") -> DataFram
     return out.select(*key, F.col("best.psm_id").alias("best_psm_id"), F.col("best.score").alias("score"), "spectral_count", "children")
 
 
+def aggregated_again(merged: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of :func:`aggregate` merged further: the best of the best, and the sum of the counts."""
+    best = F.max_by(F.struct("best_psm_id", "score"), F.struct("score", (-F.col("best_psm_id")).alias("t"))).alias("best")
+    out = merged.groupBy(*key).agg(best, F.sum("spectral_count").alias("spectral_count"))
+    return out.select(*key, "best.best_psm_id", "best.score", "spectral_count")
+
+
 def union(psms: list[DataFrame], new_id: list[str]) -> DataFrame:
     """All matches of all children; the new id is a hash of what names a match across them."""
     out = psms[0]

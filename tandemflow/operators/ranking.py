@@ -6,28 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pretty_rank(df: DataFrame, key: list[str], score: str = "score", item: str = "psm_id", tolerance: float = 0.1, gaps: bool = False, name: str = "pretty_rank") -> DataFrame:
+def pretty_rank(df: DataFrame, key: list[str], score: str = "score", item: str = "psm_id", tolerance: float = 0.1, gaps: bool = False, name: str = "pretty_rank", carry: list[str] | None = None) -> DataFrame:
     """Rank within the key by descending score, where scores within the tolerance of a rank's first share it.
 
     The comparison is with the rank's first score, not the one before, so it is a fold over the
-    sorted scores of one key (a query has few matches). gaps: ranks count all rows before.
+    sorted scores of one key (a query has few matches); it makes one number for each rank, which the rows
+    take by their place. gaps: ranks count all rows before. carry: further columns that come along; every row comes out once.
     """
-    scores = F.sort_array(F.collect_list(F.struct(F.col(score).alias("s"), (-F.col(item)).alias("i"))), False)
-    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("rank"), F.lit(float("inf")).alias("first"), F.array().cast("array<struct<i:bigint,rank:int>>").alias("out"))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(score).alias("s"), (-F.col(item)).alias("i"), *(carry or []))), False)
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("rank"), F.lit(float("inf")).alias("first"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
         new = (acc["rank"] == 0) | (acc["first"] - x["s"] > tolerance)
-        following = acc["seen"] + 1 if gaps else acc["rank"] + 1
-        rank = F.when(new, following).otherwise(acc["rank"])
         return F.struct(
             (acc["seen"] + 1).alias("seen"),
-            rank.alias("rank"),
+            F.when(new, acc["rank"] + 1).otherwise(acc["rank"]).alias("rank"),
             F.when(new, x["s"]).otherwise(acc["first"]).alias("first"),
-            F.concat(acc["out"], F.array(F.struct((-x["i"]).alias("i"), rank.alias("rank")))).alias("out"),
+            F.when(new, F.concat(acc["starts"], F.array(acc["seen"]))).otherwise(acc["starts"]).alias("starts"),
         )
 
-    folded = df.groupBy(*key).agg(F.aggregate(scores, start, step, lambda acc: acc["out"]).alias("ranked"))
-    return folded.select(*key, F.explode("ranked").alias("r")).select(*key, F.col("r.i").alias(item), F.col("r.rank").alias(name))
+    folded = df.groupBy(*key).agg(rows.alias("_rows")).withColumn("_starts", F.aggregate("_rows", start, step, lambda acc: acc["starts"]))
+    each = folded.select(*key, "_starts", F.posexplode("_rows").alias("_at", "r"))
+    before = F.filter("_starts", lambda x: x <= F.col("_at"))
+    rank = F.element_at(before, -1) + 1 if gaps else F.size(before)
+    return each.select(*key, (-F.col("r.i")).alias(item), rank.alias(name), *(F.col(f"r.{c}").alias(c) for c in carry or []))
 
 
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -80,8 +80,7 @@ def q07(v: Views):
     recursive=True,
 )
 def q08(v: Views):
-    ranks = ranking.pretty_rank(v.psm, ["query_id"], tolerance=1.0)
-    ranked = v.psm.select("query_id", "psm_id", "score", "peptide_id").join(ranks, ["query_id", "psm_id"])
+    ranked = ranking.pretty_rank(v.psm.select("query_id", "psm_id", "score", "peptide_id"), ["query_id"], tolerance=1.0, carry=["score", "peptide_id"])
     return ranking.same_sequence_as_best(ranked, ["query_id", "pretty_rank"]).select("query_id", "psm_id", "peptide_id", "pretty_rank")
 
 

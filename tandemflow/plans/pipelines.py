@@ -35,10 +35,13 @@ def summarised(psms: DataFrame, holder: str = "query_id") -> DataFrame:
 
 
 def merged_tree(psms: DataFrame, edges: DataFrame, leaf: str) -> DataFrame:
-    """For every node of a tree, one match per peptide over all result sets below it."""
-    closed = hierarchy.closure(edges)
-    below = closed.join(psms.withColumnRenamed(leaf, "descendant"), "descendant")
-    return merge.aggregate(below.withColumnRenamed("ancestor", "node"), ["node", "peptide_id"], child="descendant").drop("children")
+    """For every node of a tree, one match per peptide over all result sets below it.
+
+    Matches are merged by leaf and peptide first, so what is joined to the ancestors is one row for each.
+    """
+    of_leaf = merge.aggregate(psms, [leaf, "peptide_id"], child=leaf).drop("children").withColumnRenamed(leaf, "descendant")
+    below = hierarchy.closure(edges).join(of_leaf, "descendant").withColumnRenamed("ancestor", "node")
+    return merge.aggregated_again(below, ["node", "peptide_id"])
 
 
 def profiles(df: DataFrame, groups: DataFrame, first: int, over: float = 1.5) -> DataFrame:

@@ -30,12 +30,12 @@ def q16(v: Views):
 
 @query("q17_strict_subsets", "occurrence", _SETS + "SELECT subset_id, overset_id FROM sub")
 def q17(v: Views):
-    return inference.strict_subsets(inference.samesets(v.occurrence))
+    return inference.strict_subsets(inference.samesets(v.occurrence, members=False))
 
 
 @query("q18_subsumable", "occurrence", _SETS + "SELECT set_id FROM sm")
 def q18(v: Views):
-    sets = inference.samesets(v.occurrence)
+    sets = inference.samesets(v.occurrence, members=False)
     return inference.subsumable(sets, inference.strict_subsets(sets))
 
 
@@ -51,7 +51,7 @@ def q19(v: Views):
 
 @query("q20_representative", "occurrence", _SETS + "SELECT set_id AS representative, unnest(members) AS protein_id FROM g")
 def q20(v: Views):
-    return inference.samesets(v.occurrence).select(F.col("set_id").alias("representative"), F.explode("members").alias("protein_id"))
+    return inference.representatives(v.occurrence).select(F.col("set_id").alias("representative"), "protein_id")
 
 
 _BEST = """, b AS (SELECT protein_id, peptide_id, max(score) AS score, max(15e0 + 5e0 * charge) AS threshold FROM psm GROUP BY 1, 2)
