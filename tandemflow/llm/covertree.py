@@ -2,8 +2,8 @@
 
 On unit vectors a cosine bound is a distance bound.  Equal vectors are one class (by a partial
 aggregation) and weigh as many rows.  Classes are dealt to cells, each to its nearest centre, and
-visit every later cell whose covering radius they could reach into; so a linked pair meets in
-exactly one cell, and what is too far away is never sent.  Cells of any size are cut to blocks of
+visit every later cell that they could reach into, by its covering radius and by the plane between the two
+centres; so a linked pair meets in exactly one cell, and what is too far away is never sent.  Cells of any size are cut to blocks of
 about ``BLOCK`` rows, and one task takes two blocks.
 
 In a task each block is a cover tree: nested levels whose radii halve.  Two trees are walked
@@ -36,6 +36,8 @@ BLOCK, LEAF = 4096, 8
 ROWS_AT_ONCE = 512
 #: Most centres: what the driver and each task hold of them is bounded by it.
 CENTRES = 1024
+#: Edges that wait to be folded into a task's roots.
+EDGES_HELD = 1 << 18
 #: Room for rounding: nearer bounds than this are measured, not decided by radii.
 SLACK = 1e-6
 
@@ -117,18 +119,27 @@ class Links:
         self.x, self.weight, self.cosine = x, weight, cosine
         self.bound = float(np.sqrt(2 - 2 * cosine))
         self.linked = np.zeros(len(x), dtype=np.int64)
+        self.root = np.arange(len(x))
         self.edges: list[np.ndarray] = []
+        self.held = 0
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> None:
         np.add.at(self.linked, a, self.weight[b])
         np.add.at(self.linked, b, self.weight[a])
+        self._connect(a, b)
+
+    def _connect(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Edges wait in a buffer of bounded size until they are folded into the roots."""
         self.edges.append(np.stack([a, b]))
+        self.held += len(a)
+        if self.held > EDGES_HELD:
+            self.roots()
 
     def all_of(self, a: np.ndarray, b: np.ndarray) -> None:
         """Every point of a with every point of b."""
         self.linked[a] += self.weight[b].sum()
         self.linked[b] += self.weight[a].sum()
-        self.edges.append(np.stack([np.r_[a, b[1:]], np.full(len(a) + len(b) - 1, b[0])]))
+        self._connect(np.r_[a, b[1:]], np.full(len(a) + len(b) - 1, b[0]))
 
     def measured(self, a: np.ndarray, b: np.ndarray) -> None:
         i, j = np.nonzero(self.x[a] @ self.x[b].T >= self.cosine)
@@ -145,7 +156,7 @@ class Links:
             if 2 * n.radius <= self.bound - SLACK:
                 own = self.weight[n.points]
                 self.linked[n.points] += own.sum() - own
-                self.edges.append(np.stack([n.points[1:], np.full(len(n.points) - 1, n.points[0])]))
+                self._connect(n.points[1:], np.full(len(n.points) - 1, n.points[0]))
             elif not n.children:
                 i, j = np.nonzero(np.triu(self.x[n.points] @ self.x[n.points].T >= self.cosine, 1))
                 if len(i):
@@ -200,20 +211,20 @@ class Links:
         self._meet(open_)
 
     def roots(self) -> np.ndarray:
-        """The smallest point reachable from each."""
-        root = np.arange(len(self.x))
+        """The smallest point reachable from each, by the edges so far."""
+        root, self.held = self.root, 0
         if not self.edges:
             return root
         a, b = np.concatenate(self.edges, axis=1)
+        self.edges = []
         while True:
             low = np.minimum(root[a], root[b])
             after = root.copy()
-            np.minimum.at(after, a, low)
-            np.minimum.at(after, b, low)
-            np.minimum.at(after, root[a], low)
-            np.minimum.at(after, root[b], low)
+            for ends in (a, b, root[a], root[b]):
+                np.minimum.at(after, ends, low)
             after = after[after]
             if (after == root).all():
+                self.root = root
                 return root
             root = after
 
@@ -275,7 +286,22 @@ def _homes(centres):
     return homes
 
 
-def _visits(centres, radii, bound: float):
+def _reached(x: np.ndarray, centres: np.ndarray, radii: np.ndarray, home: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether the cell of each centre, later than home, may hold a vector of that cosine to each row of ``x``.
+
+    Two bounds: the cell's covering radius; and the plane between the two centres, beyond which all of
+    the cell lies: what is farther from the plane than the cosine allows has no partner there.
+    """
+    near = x @ centres.T
+    apart = np.sqrt(np.maximum(2 - 2 * near, 0))
+    later = np.arange(len(centres))[None, :] > home[:, None]
+    by_radius = apart <= radii[None, :] + np.sqrt(2 - 2 * cosine) + SLACK
+    between = np.maximum(_apart(centres[home], centres), SLACK)
+    beyond = (near[np.arange(len(x)), home][:, None] - near) / between
+    return later & by_radius & (beyond <= np.sqrt(max(1 - cosine * cosine, 0)) + SLACK) if cosine > 0 else later & by_radius
+
+
+def _visits(centres, radii, cosine: float):
     """(node, weight, vector, dim, cell, visitor): the home cell, and each later cell within reach."""
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +315,8 @@ def _visits(centres, radii, bound: float):
                     known = centres.value.get(int(dim))
                     if known is None:
                         continue
-                    d = _apart(unit(matrix(batch.column("vector").take(pa.array(own)))), known)
-                    i, cell = np.nonzero((d <= radii.value[int(dim)] + bound + SLACK) & (np.arange(len(known))[None, :] > home[own][:, None]))
+                    x = unit(matrix(batch.column("vector").take(pa.array(own))))
+                    i, cell = np.nonzero(_reached(x, known, radii.value[int(dim)], home[own], cosine))
                     rows.append(own[i])
                     cells.append(cell.astype(np.int32))
                 row, cell = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cells), pa.int32())
@@ -318,8 +344,11 @@ def link(table: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", vector:
     # At most CENTRES rows come to the driver; lengths beyond the 8 most frequent have one cell each.
     nth = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("class")))
     n = sum(counts.values())
-    wanted = max(1, min(CENTRES // 8, -(-n // block)))
-    chosen = classes.withColumn("nth", nth).filter(F.col("nth") <= wanted).filter(F.col("dim").isin(list(counts))).orderBy("dim", "nth").select("dim", "vector").toArrow()
+    # A length's share of the centres goes by its rows, one for each block of them as long as they last.
+    wanted = {d: max(1, min(-(-c // block), CENTRES * c // n)) for d, c in counts.items()}
+    most = F.create_map(*(F.lit(v) for pair in wanted.items() for v in pair)) if wanted else F.lit(None)
+    chosen = classes.filter(F.col("dim").isin(list(counts))).withColumn("nth", nth).filter(F.col("nth") <= max(wanted.values(), default=0))
+    chosen = (chosen.filter(F.col("nth") <= most[F.col("dim")]) if wanted else chosen).orderBy("dim", "nth").select("dim", "vector").toArrow()
     of_dim: dict[int, list] = {}
     for dim, x in zip(chosen.column("dim").to_pylist(), chosen.column("vector").to_pylist(), strict=True):
         of_dim.setdefault(dim, []).append(x)
@@ -330,8 +359,7 @@ def link(table: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", vector:
     for r in homes.filter(F.col("dim").isin(list(of_dim))).groupBy("dim", "home").agg(F.max("apart").alias("r")).collect():
         reach[r["dim"]][r["home"]] = r["r"]
     radii = spark.sparkContext.broadcast(reach)
-    bound = float(np.sqrt(2 - 2 * cosine))
-    placed = homes.mapInArrow(_visits(centres, radii, bound), "node long, weight long, vector array<double>, dim int, cell int, visitor boolean")
+    placed = homes.mapInArrow(_visits(centres, radii, cosine), "node long, weight long, vector array<double>, dim int, cell int, visitor boolean")
     placed = cut(placed, "cover-cells")
     sizes = placed.groupBy("dim", "cell").agg(F.count_if(~F.col("visitor")).alias("n_home"), F.count_if("visitor").alias("n_visit"))
     sizes = sizes.select("dim", "cell", F.ceil(F.col("n_home") / block).cast("int").alias("homes"), F.ceil(F.col("n_visit") / block).cast("int").alias("visits"))
