@@ -122,13 +122,22 @@ def discard_missed_cleavage(df: DataFrame, mode: str, sequence: str = "sequence"
     return flag(marked.join(losers, sequence, "left"), F.col("loser").isNull()).drop("mc", "pieces", "loser")
 
 
-def discard_modified(df: DataFrame, pattern: str, mode: str = "forms", ptm: str = "ptm_string", sequence: str = "sequence") -> DataFrame:
-    """mode forms: peptides whose PTM string matches; all: every form of such a sequence."""
+def discard_modified(df: DataFrame, pattern: str, mode: str = "forms", ptm: str = "ptm_string", sequence: str = "sequence", abundance: str = "abundance", item: str = "peptide_id") -> DataFrame:
+    """mode forms: peptides whose PTM string matches; all: every form of such a sequence; keep: all but its most abundant form."""
     hit = F.coalesce(F.col(ptm).rlike(pattern), F.lit(False))
     if mode == "forms":
         return flag(df, ~hit)
-    with_hit = df.filter(hit).select(sequence).distinct().withColumn("modified_form", F.lit(True))
-    return flag(df.join(with_hit, sequence, "left"), F.col("modified_form").isNull()).drop("modified_form")
+    best = F.max_by(item, F.struct(F.col(abundance), (-F.col(item)).alias("i"))).alias("best_form") if mode == "keep" else F.lit(None).alias("best_form")
+    of_sequence = df.groupBy(sequence).agg(F.max(hit).alias("modified_form"), best)
+    joined = df.join(of_sequence, sequence, "left")
+    keep = ~F.col("modified_form") | (F.coalesce(F.col(item) == F.col("best_form"), F.lit(False)) if mode == "keep" else F.lit(False))
+    return flag(joined, keep).drop("modified_form", "best_form")
+
+
+def discard_modified_by_ids(df: DataFrame, ptm_ids: list[int], mode: str = "forms", ptms: str = "ptm_ids", **how) -> DataFrame:
+    """:func:`discard_modified` for peptides that carry any of the given PTMs."""
+    marked = df.withColumn("_hit", F.when(F.arrays_overlap(ptms, F.array(*map(F.lit, ptm_ids))), "1").otherwise("0"))
+    return discard_modified(marked, "1", mode, ptm="_hit", **how).drop("_hit")
 
 
 def unspecific(df: DataFrame, item: str, holder: str) -> DataFrame:

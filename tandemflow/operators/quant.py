@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import from_symmetric_ratio, legacy_percentile, symmetric_ratio
 from ..functions.numerics import ratio_fit, welch
+from .quantiles import medians, percentiles
+from .storage import materialised
 
 
 def channel_factors(df: DataFrame, row: list[str], channel: str, value: str, first: int) -> DataFrame:
     """(channel, factor): the median over rows of first channel / channel, where both are defined; 1 for the first."""
     reference = df.filter(F.col(channel) == first).select(*row, F.col(value).alias("_ref"))
-    return df.join(reference, row).groupBy(channel).agg(F.median(F.col("_ref") / F.col(value)).alias("factor"))
+    return medians(df.join(reference, row).select(channel, (F.col("_ref") / F.col(value)).alias("_ratio")), [channel], "_ratio", "factor")
 
 
 def normalise(df: DataFrame, row: list[str], channel: str, value: str, first: int, name: str = "abundance") -> DataFrame:
@@ -33,8 +35,8 @@ def grid(df: DataFrame, row: list[str], channel: str, value: str, channels: list
 
 def impute_percentile(df: DataFrame, row: list[str], channel: str, value: str, channels: list[int], percent: float = 0.01, least: int = 10) -> DataFrame:
     """The full grid; missing values get their channel's noise, a low percentile of what it has (of ``least`` rows or more)."""
-    noise = df.groupBy(channel).agg(F.percentile(value, F.lit(percent)).alias("_noise"), F.count(value).alias("_n"))
-    noise = noise.select(channel, F.when(F.col("_n") >= least, F.col("_noise")).alias("_noise"))
+    noise = percentiles(df, [channel], value, {"_noise": percent})
+    noise = noise.select(channel, F.when(F.col("n") >= least, F.col("_noise")).alias("_noise"))
     full = grid(df, row, channel, value, channels).join(noise, channel, "left")
     return full.withColumn("imputed", F.col(value).isNull()).withColumn(value, F.coalesce(value, "_noise")).drop("_noise")
 
@@ -133,7 +135,9 @@ def error_bins(df: DataFrame, abundance: str, spread: str, bins: int) -> DataFra
     ends = logs.agg(F.min("x").alias("low"), F.max("x").alias("high"))
     placed = logs.crossJoin(F.broadcast(ends))  # one row
     at = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)).cast("int")
-    return placed.withColumn("bin", at).groupBy("bin").agg(F.count("*").alias("n"), F.avg("x").alias("log_abundance"), F.median("s").alias("spread"))
+    binned = materialised(placed.select(at.alias("bin"), "x", "s"), "error-bins")
+    means = binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("x").alias("log_abundance"))
+    return means.join(medians(binned, ["bin"], "s", "spread"), "bin")
 
 
 def group_ratio(df: DataFrame, key: list[str], group: str, value: str, numerator: int, denominator: int, over: float = 2.0) -> DataFrame:
@@ -147,7 +151,7 @@ def group_ratio(df: DataFrame, key: list[str], group: str, value: str, numerator
 def ratio_z(df: DataFrame, value: str = "ratio") -> DataFrame:
     """``df`` with z of the log ratio, against the IQR of all log ratios."""
     logs = df.filter(F.col(value) > 0).withColumn("log_ratio", F.log(value))
-    q = logs.agg(*(F.percentile("log_ratio", F.lit(p)).alias(n) for p, n in ((0.25, "_q1"), (0.5, "_q2"), (0.75, "_q3"))))
+    q = percentiles(logs, [], "log_ratio", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}).drop("n")
     joined = logs.crossJoin(F.broadcast(q))  # one row
     return joined.withColumn("z", (F.col("log_ratio") - F.col("_q2")) / ((F.col("_q3") - F.col("_q1")) / 1.349)).drop("_q1", "_q2", "_q3")
 

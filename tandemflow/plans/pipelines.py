@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import fdr, hierarchy, inference, merge, quant, ranking, scoring
+from ..operators import fdr, hierarchy, inference, merge, quant, scoring
 from .registry import query
 from .views import Views
 
@@ -100,8 +100,3 @@ def p02(v: Views):
 def p03(v: Views):
     return profiles(v.quant, v.channel, 1995).withColumn("ratio", rounded(F.col("ratio"), 9))
 
-
-@query("p04_validated_sets", "")
-def p04(v: Views):
-    best = ranking.first_of(validated(v.psm, 66.0), ["query_id", "peptide_id"], [F.col("score").desc(), F.col("psm_id")])
-    return summarised(best)
