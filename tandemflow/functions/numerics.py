@@ -36,15 +36,50 @@ def t_two_sided(t: float, freedom: float) -> float:
     return incomplete_beta(freedom / 2, 0.5, freedom / (freedom + t * t))
 
 
-def welch(mean_a: float, var_a: float, n_a: int, mean_b: float, var_b: float, n_b: int) -> float:
-    """Two-sided p-value of Welch's t-test; nan without two values a side or any spread."""
-    if n_a < 2 or n_b < 2:
-        return math.nan
-    a, b = var_a / n_a, var_b / n_b
-    if a + b <= 0:
-        return math.nan
-    freedom = (a + b) ** 2 / (a * a / (n_a - 1) + b * b / (n_b - 1))
-    return t_two_sided((mean_a - mean_b) / math.sqrt(a + b), freedom)
+def incomplete_betas(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """:func:`incomplete_beta` of whole arrays: all continued fractions step together."""
+    a, b, x = (np.array(v, dtype=np.float64) for v in np.broadcast_arrays(a, b, x))
+    turned = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    inside = (x > 0) & (x < 1)
+    y = np.where(inside, x, 0.5)
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(y) + b * np.log1p(-y)) / a
+    solid = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    c = np.ones_like(y)
+    d = 1 / solid(1 - (a + b) * y / (a + 1))
+    out = d.copy()
+    for m in range(1, 300):
+        up = m * (b - m) * y / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 / solid(1 + up * d), solid(1 + up / c)
+        out = out * c * d
+        down = -(a + m) * (a + b + m) * y / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / solid(1 + down * d), solid(1 + down / c)
+        out = out * c * d
+        if (np.abs(c * d - 1) < 1e-14).all():
+            break
+    value = np.where(inside, front * out, (x >= 1).astype(float))
+    return np.where(turned, 1 - value, value)
+
+
+def welch(mean_a, var_a, n_a, mean_b, var_b, n_b) -> np.ndarray:
+    """Two-sided p-values of Welch's t-test, of whole arrays; nan without two values a side or any spread."""
+    mean_a, var_a, n_a, mean_b, var_b, n_b = (np.asarray(v, dtype=np.float64) for v in (mean_a, var_a, n_a, mean_b, var_b, n_b))
+    with np.errstate(all="ignore"):
+        a, b = var_a / n_a, var_b / n_b
+        ok = (n_a >= 2) & (n_b >= 2) & (a + b > 0)
+        a, b = np.where(ok, a, 1.0), np.where(ok, b, 1.0)
+        freedom = np.where(ok, (a + b) ** 2 / (a * a / np.maximum(n_a - 1, 1) + b * b / np.maximum(n_b - 1, 1)), 1.0)
+        square = np.where(ok, (mean_a - mean_b) ** 2 / (a + b), 0.0)
+        return np.where(ok, incomplete_betas(freedom / 2, np.full_like(freedom, 0.5), freedom / (freedom + square)), np.nan)
+
+
+def corrected_variance(mean: np.ndarray, variance: np.ndarray, expected_sd: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Variance raised by a sigmoid of how far the coefficient of variation lies below the expected one, over the fold change."""
+    with np.errstate(all="ignore"):
+        cv, expected = 100 * np.sqrt(variance) / mean, 100 * expected_sd / mean
+        raised = cv + expected / (1 + np.exp(np.minimum(cv - expected / 2, 700))) / fold
+        return (raised * mean / 100) ** 2
 
 
 def loess(x: np.ndarray, y: np.ndarray, bandwidth: float = 0.3, robust: int = 2) -> np.ndarray:

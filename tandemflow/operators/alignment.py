@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import interpolate
 from ..functions.numerics import loess
 from . import rangejoin
+from .peaks import SMOOTHING, SMOOTHING_SUM
 
 
 def landmarks(left: DataFrame, right: DataFrame, mz_tolerance: float, time_tolerance: float, mass_bin: float) -> DataFrame:
@@ -129,10 +130,27 @@ def ratio_factors(pairs: DataFrame) -> DataFrame:
 
 
 def savitzky_golay(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """``df`` with the quadratic 5-point smoothing of the value; the first and last two stay."""
+    """``df`` with ``smooth``, the Savitzky-Golay smoothing (5, 5, order 4) of the value; the first and last five stay."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    terms = [(-3, F.lag(value, 2)), (12, F.lag(value, 1)), (12, F.lead(value, 1)), (-3, F.lead(value, 2))]
-    total = F.col(value) * 17.0
-    for k, c in terms:
-        total = total + c.over(w) * float(k)
-    return df.withColumn("smooth", F.coalesce(total / 35.0, F.col(value)))
+    half = len(SMOOTHING) // 2
+    total = F.col(value) * SMOOTHING[half]
+    for i in range(1, half + 1):
+        total = total + (F.lag(value, i).over(w) + F.lead(value, i).over(w)) * SMOOTHING[half + i]
+    return df.withColumn("smooth", F.coalesce(total / SMOOTHING_SUM, F.col(value)))
+
+
+def moz_calibration(features: DataFrame, keys: list[str], width: float, overlap: float = 0.5, least: int = 1, most_ppm: float = 500.0) -> DataFrame:
+    """(keys, t, ppm): the median m/z error of each time window. features: (keys, t, mz, expected_mz).
+
+    Errors of ``most_ppm`` and more are no calibration points.
+    """
+    ppm = (F.col("mz") - F.col("expected_mz")) / F.col("expected_mz") * 1e6
+    points = features.select(*keys, "t", ppm.alias("dt")).filter(F.abs("dt") < most_ppm)
+    return time_windows(points, keys, width, overlap, least).groupBy(*keys, "t").agg(F.avg("dt").alias("ppm"))
+
+
+def calibrated(features: DataFrame, calibration: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """``features`` with calibrated_mz: the m/z less the interpolated error at its time."""
+    moved = converted(features, calibration.withColumnRenamed("ppm", "dt"), keys, width)
+    ppm = F.col("aligned_t") - F.col("t")
+    return moved.withColumn("calibrated_mz", F.col("mz") / (1 + ppm / 1e6)).drop("aligned_t")

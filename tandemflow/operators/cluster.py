@@ -89,19 +89,52 @@ def cross_assignment(df: DataFrame, item: list[str], run: str, runs: list[int],
     return present.select(*item, F.explode(F.array_except(every, "_in")).alias(run), "source_run")
 
 
-def site_clusters(sites: DataFrame) -> DataFrame:
-    """(protein_id, cluster, peptide_id): peptides with equal PTM sites, proteins' larger site sets first.
+def peptide_clusters(peptides: DataFrame, method: str) -> DataFrame:
+    """(set_id, cluster, peptide_id): quantified peptides of each set, by sequence, set, ptm_pattern or profile.
 
-    The order is greedy, so each protein is a pandas group of its own. sites: (protein_id, peptide_id, site).
+    peptides: (set_id, accession, peptide_id) and, by method, sequence, ptms array<struct<position, name>>, starts
+    array<int> (in the protein), states array<string>.  By pattern, peptides of equal PTMs at equal places are MODIFIED;
+    an unmodified one (the largest id of its sequence) with the sequence of a pattern's first peptide is the
+    pattern's UNMODIFIED form; the others go by the accession.
     """
+    if method == "sequence":
+        return peptides.select("set_id", F.col("sequence").alias("cluster"), "peptide_id")
+    if method == "set":
+        return peptides.select("set_id", F.col("accession").alias("cluster"), "peptide_id")
+    if method == "profile":
+        return peptides.select("set_id", F.array_join("states", ";").alias("cluster"), "peptide_id")
+    if method != "ptm_pattern":
+        raise ValueError(method)
+    place = lambda p: F.concat(p["name"], F.lit("@"), F.array_join(F.transform("starts", lambda s: (s + p["position"] - 1).cast("string")), ","))
+    marked = peptides.withColumn("pattern", F.array_join(F.transform(F.array_sort("ptms"), place), "; "))
+    modified = marked.filter("pattern <> ''")
+    first = modified.groupBy("set_id", "pattern").agg(F.min_by("sequence", "peptide_id").alias("sequence"))
+    plain = marked.filter("pattern = ''")
+    partner = plain.groupBy("set_id", "sequence").agg(F.max("peptide_id").alias("peptide_id")).join(first, ["set_id", "sequence"])
+    rest = plain.join(partner.select("set_id", "peptide_id").distinct(), ["set_id", "peptide_id"], "left_anti")
+    return (
+        modified.select("set_id", F.concat(F.lit("MODIFIED "), F.col("pattern")).alias("cluster"), "peptide_id")
+        .unionByName(partner.select("set_id", F.concat(F.lit("UNMODIFIED "), F.col("pattern")).alias("cluster"), "peptide_id"))
+        .unionByName(rest.select("set_id", F.col("accession").alias("cluster"), "peptide_id"))
+    )
+
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = pdf.groupby("peptide_id")["site"].agg(lambda s: tuple(sorted(set(s))))
-        rows: list[tuple] = []
-        numbers: dict[tuple, int] = {}
-        for peptide, own in sorted(sets.items(), key=lambda x: (-len(x[1]), x[1], x[0])):
-            rows.append((pdf["protein_id"].iloc[0], numbers.setdefault(own, len(numbers)), peptide))
-        return pd.DataFrame(rows, columns=["protein_id", "cluster", "peptide_id"])
+def site_clusters(matches: DataFrame, partial: bool = True) -> DataFrame:
+    """(protein_id, sites, peptide_id, status): peptides of a protein that carry the same PTM sites.
 
-    p, q = (sites.schema[c].dataType.simpleString() for c in ("protein_id", "peptide_id"))
-    return sites.groupBy("protein_id").applyInPandas(greedy, f"protein_id {p}, cluster int, peptide_id {q}")
+    matches: (protein_id, peptide_id, start, stop, sites array<struct<position, ptm>>).  Matches of equal sites are
+    isomorphic: one cluster.  partial: a match whose sites are part of a cluster's joins it as partially isomorphic, if it
+    doesn't reach to any of the other sites; if it does, it conflicts.  Going from most sites to fewest a
+    cluster never depends on the one before, so there is no order: a smaller match meets the clusters
+    that hold its first site.
+    """
+    sorted_ = matches.filter(F.size("sites") > 0).withColumn("sites", F.array_sort("sites"))
+    same = sorted_.select("protein_id", "sites", "peptide_id", F.lit("isomorphic").alias("status")).distinct()
+    if not partial:
+        return same
+    clusters = sorted_.select("protein_id", F.col("sites").alias("cluster")).distinct().withColumn("first", F.explode("cluster"))
+    small = sorted_.withColumn("first", F.col("sites")[0]).select("protein_id", "first", "peptide_id", "start", "stop", F.col("sites").alias("own"))
+    inside = (F.size("cluster") > F.size("own")) & (F.size(F.array_except("own", "cluster")) == 0)
+    reached = F.exists(F.array_except("cluster", "own"), lambda s: s["position"].between(F.col("start"), F.col("stop")))
+    joined = small.join(clusters, ["protein_id", "first"]).filter(inside & ~reached)
+    return same.unionByName(joined.select("protein_id", F.col("cluster").alias("sites"), "peptide_id", F.lit("partially isomorphic").alias("status")).distinct())

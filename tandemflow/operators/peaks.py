@@ -6,6 +6,8 @@ never leaves its row.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,21 +67,56 @@ def mean_around_apex(peaks: Column) -> Column:
 INTENSITIES = {"apex": apex, "area": area, "area_above_half": area_above_half, "top3_mean": mean_around_apex}
 
 
+#: Savitzky-Golay weights of 5 points on either side and a polynomial of order 4, over 429.
+SMOOTHING = (18.0, -45.0, -10.0, 60.0, 120.0, 143.0, 120.0, 60.0, -10.0, -45.0, 18.0)
+SMOOTHING_SUM = 429.0
+
+
 def smoothed(peaks: Column) -> Column:
-    """Quadratic 5-point Savitzky-Golay; the first and last two peaks stay."""
-    weights = (-3.0, 12.0, 17.0, 12.0, -3.0)
+    """Savitzky-Golay smoothing (5, 5, order 4); the first and last five peaks stay."""
 
     def one(p: Column, i: Column) -> Column:
-        inside = (i >= 2) & (i < F.size(peaks) - 2)
-        total = None
-        for k, w in enumerate(weights):
-            term = F.lit(w) * F.element_at(peaks, F.greatest(i + k - 1, F.lit(1)))["intensity"]
-            total = term if total is None else total + term
-        return F.struct(p["time"].alias("time"), F.when(inside, total / 35.0).otherwise(p["intensity"]).alias("intensity"))
+        near = F.slice(peaks, i - 4, len(SMOOTHING))
+        weighed = F.zip_with(near, F.array(*map(F.lit, SMOOTHING)), lambda x, w: x["intensity"] * w)
+        total = F.aggregate(weighed, F.lit(0.0), lambda acc, x: acc + x)
+        inside = (i >= 5) & (i < F.size(peaks) - 5)
+        return F.struct(p["time"].alias("time"), F.when(inside, total / SMOOTHING_SUM).otherwise(p["intensity"]).alias("intensity"))
 
     return F.transform(peaks, one)
 
 
+def fitted(peaks: Column, shape: str) -> Column:
+    """The intensities of a signal replaced by a curve fitted to its peaks above half the apex: gaussian or quadratic.
+
+    A gaussian is a parabola through the logarithms.  With fewer than three such peaks, or a parabola that
+    opens upwards, the signal stays.  Fits of a batch's signals are small and independent.
+    """
+    if shape not in ("gaussian", "quadratic"):
+        raise ValueError(shape)
+
+    @F.pandas_udf("array<double>")
+    def fit(times: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for t, y in zip(times, values, strict=True):
+            if t is None or not len(t):
+                out.append(y)
+                continue
+            t, y = np.asarray(t, dtype=np.float64), np.asarray(y, dtype=np.float64)
+            use = (y >= y.max() / 2) & (y > 0)
+            if use.sum() < 3 or np.ptp(t[use]) == 0:
+                out.append(y)
+                continue
+            middle, spread = t[use].mean(), np.ptp(t[use])
+            x = (t - middle) / spread
+            c = np.polyfit(x[use], np.log(y[use]) if shape == "gaussian" else y[use], 2)
+            curve = np.polyval(c, x)
+            out.append(y if c[0] >= 0 else np.exp(np.minimum(curve, 700)) if shape == "gaussian" else np.maximum(curve, 0))
+        return pd.Series(out)
+
+    times, values = F.transform(peaks, lambda p: p["time"]), F.transform(peaks, lambda p: p["intensity"])
+    return F.zip_with(times, fit(times, values), lambda t, y: F.struct(t.alias("time"), y.alias("intensity")))
+
+
 def feature_intensity(isotopes: DataFrame, key: str, method: str, n: int = 2) -> DataFrame:
     """(key, intensity) of features from isotopes (key, isotope, intensity). method: all, first_n, highest."""
     df = isotopes.withColumn("intensity", defined(F.col("intensity")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 #: Monoisotopic residue masses and water, in dalton.
 RESIDUE_MASS = {
     "G": 57.02146, "A": 71.03711, "S": 87.03203, "P": 97.05276, "V": 99.06841, "T": 101.04768, "C": 103.00919, "L": 113.08406, "I": 113.08406,
@@ -66,3 +68,62 @@ def coverage(intervals: DataFrame, key: str, length: Column) -> DataFrame:
 def isotope_deviation(df: DataFrame, key: list[str]) -> DataFrame:
     """(key, rmsd): of observed from expected isotope shares. df: (key, observed, expected)."""
     return df.groupBy(*key).agg(F.sqrt(F.avg(F.pow(F.col("observed") - F.col("expected"), F.lit(2)))).alias("rmsd"))
+
+
+def aggregated_sites(sites: DataFrame) -> DataFrame:
+    """(accession, ptm, position, confidence, best_psm_id, n_children, peptide_ids): sites of all children, by what names them.
+
+    The best match is the one of the best localisation, then score, then the smallest id.
+    sites: (child, accession, ptm, position, best_psm_id, confidence, score, peptide_ids array).
+    """
+    best = F.max_by("best_psm_id", F.struct("confidence", "score", (-F.col("best_psm_id")).alias("t")))
+    each = sites.groupBy("accession", "ptm", "position").agg(F.max("confidence").alias("confidence"), best.alias("best_psm_id"), F.count_distinct("child").alias("n_children"))
+    ids = sites.select("accession", "ptm", "position", F.explode("peptide_ids").alias("p")).groupBy("accession", "ptm", "position").agg(F.array_sort(F.collect_set("p")).alias("peptide_ids"))
+    return each.join(ids, ["accession", "ptm", "position"], "left")
+
+
+def deviation_bound(df: DataFrame, key: str = "feature_id", charges: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """One row (n, bound): the outlier bound Q3 + 1.5 IQR of the isotope patterns' deviations. df: (key, charge, observed, expected)."""
+    each = isotope_deviation(df.filter(F.col("charge").isin(*charges)), [key])
+    q = percentiles(each, [], "rmsd", {"q1": 0.25, "q3": 0.75})
+    return q.select("n", (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("bound"))
+
+
+def peptide_key(sequence: Column, ptm_string: Column, insensitive: bool = False) -> Column:
+    """What makes peptides the same: sequence and PTM string; insensitive: I and L are one residue."""
+    return F.concat_ws("%", F.translate(sequence, "I", "L") if insensitive else sequence, F.coalesce(ptm_string, F.lit("")))
+
+
+def resolved(sequence: Column, ambiguity: Column) -> Column:
+    """The sequence with its ambiguous residues replaced. ambiguity: 'position,from,to,...' in triplets; null or empty changes nothing."""
+    parts = F.split(ambiguity, r"\s*,\s*")
+    triplets = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 3).cast("int") - 1), lambda i: F.struct(parts[3 * i].cast("int").alias("at"), parts[3 * i + 2].alias("to")))
+    put = lambda acc, x: F.concat(F.substring(acc, F.lit(1), x["at"] - 1), x["to"], F.substring(acc, x["at"] + 1, F.length(acc)))
+    return F.when(F.length(ambiguity) > 0, F.aggregate(triplets, sequence, put)).otherwise(sequence)
+
+
+#: pK of the ends and of the residues that carry a charge.
+PK_POSITIVE = {"N-term": 8.0, "K": 10.0, "R": 12.0, "H": 6.5}
+PK_NEGATIVE = {"C-term": 3.1, "D": 4.4, "E": 4.4, "C": 8.5, "Y": 10.0}
+
+
+def isoelectric_point(sequence: Column) -> Column:
+    """The pH at which a peptide's charges cancel, by bisection."""
+    counted = lambda r: F.lit(1.0) if len(r) > 1 else F.regexp_count(sequence, F.lit(r)).cast("double")
+    counts = F.struct(*(counted(r).alias(f"c{i}") for i, r in enumerate([*PK_POSITIVE, *PK_NEGATIVE])))
+
+    def charge(ph: Column, n: Column) -> Column:
+        total = F.lit(0.0)
+        for i, pk in enumerate(PK_POSITIVE.values()):
+            total = total + n[f"c{i}"] / (1 + F.pow(F.lit(10.0), ph - pk))
+        for i, pk in enumerate(PK_NEGATIVE.values(), len(PK_POSITIVE)):
+            total = total - n[f"c{i}"] / (1 + F.pow(F.lit(10.0), pk - ph))
+        return total
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = (acc["low"] + acc["high"]) / 2
+        up = charge(middle, acc["n"]) > 0
+        return F.struct(F.when(up, middle).otherwise(acc["low"]).alias("low"), F.when(up, acc["high"]).otherwise(middle).alias("high"), acc["n"].alias("n"))
+
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(14.0).alias("high"), counts.alias("n"))
+    return F.when(F.length(sequence) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(30)), start, halve, lambda acc: (acc["low"] + acc["high"]) / 2))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import from_symmetric_ratio, legacy_percentile, symmetric_ratio
-from ..functions.numerics import ratio_fit, welch
+from ..functions.numerics import corrected_variance, ratio_fit, welch
 from .quantiles import medians, percentiles
 from .storage import materialised
 
@@ -161,17 +161,99 @@ def cauchy_p(z: Column) -> Column:
     return 1 - 2 / math.pi * F.atan(F.abs(z))
 
 
-def group_t_test(df: DataFrame, key: list[str], group: str, value: str, a: int, b: int) -> DataFrame:
-    """(key, p_value) of Welch's test between two groups; sums are made by Spark, only the tail is numpy."""
+def group_t_test(df: DataFrame, key: list[str], group: str, value: str, a: int, b: int, model: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """(key, p_value) of Welch's test between two groups; sums are made by Spark, only the tail is numpy.
+
+    model: an absolute error model (log_abundance, spread; one row a bin, so it is small).  With it the test is
+    made once more with variances corrected by what the model expects at that abundance, and the larger p-value
+    holds.  Groups of fewer than ``least`` values (three at least, with a model) have none.
+    """
     of = lambda g: F.when(F.col(group) == g, F.col(value))
     stats = df.groupBy(*key).agg(*(f(of(g)).alias(f"{n}_{s}") for g, s in ((a, "a"), (b, "b")) for f, n in ((F.avg, "mean"), (F.var_samp, "var"), (F.count, "n"))))
+    bins = None
+    if model is not None:
+        rows = sorted((r["log_abundance"], r["spread"]) for r in model.select("log_abundance", "spread").collect() if r["spread"] is not None)
+        bins = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows])) if rows else None
 
     @F.pandas_udf("double")
     def tail(ma: pd.Series, va: pd.Series, na: pd.Series, mb: pd.Series, vb: pd.Series, nb: pd.Series) -> pd.Series:
-        return pd.Series([welch(*x) for x in zip(ma, va, na, mb, vb, nb, strict=True)], dtype=float)
-
+        ma, va, na, mb, vb, nb = (x.to_numpy(dtype=np.float64) for x in (ma, va, na, mb, vb, nb))
+        p = welch(ma, va, na, mb, vb, nb)
+        if bins is not None:
+            with np.errstate(all="ignore"):
+                fold = np.where(ma > mb, ma / mb, mb / ma)
+                expected = [np.interp(np.log10(np.maximum(m, 1e-300)), *bins) for m in (ma, mb)]
+            corrected = welch(ma, corrected_variance(ma, va, expected[0], fold), na, mb, corrected_variance(mb, vb, expected[1], fold), nb)
+            p = np.where(np.isnan(p) | (corrected > p), corrected, p)
+        return pd.Series(p)
+
+    enough = max(least, 3) if model is not None else least
     p = tail("mean_a", "var_a", "n_a", "mean_b", "var_b", "n_b")
-    return stats.select(*key, F.when((F.col("n_a") > 1) & (F.col("n_b") > 1), p).alias("p_value"))
+    return stats.select(*key, F.when((F.col("n_a") >= enough) & (F.col("n_b") >= enough), p).alias("p_value"))
+
+
+def sample_group_ratio(df: DataFrame, key: list[str], group: str, sample: str, value: str, numerator: int, denominator: int, over: float = 2.0, least: int = 3) -> DataFrame:
+    """:func:`group_ratio` over medians of each sample, where every group has ``least`` samples or more; else over all values.
+
+    What decides is the design (which samples a group has), one row for each group.
+    """
+    design = df.select(group, sample).distinct().filter(F.col(group).isin(numerator, denominator)).groupBy(group).agg(F.count("*").alias("n"))
+    fewest = design.agg(F.min("n").alias("n")).head()["n"] or 0
+    level = df.groupBy(*key, group, sample).agg(F.median(value).alias(value)) if fewest >= least else df
+    return group_ratio(level, key, group, value, numerator, denominator, over)
+
+
+def biological_profile(df: DataFrame, entity: str, row: str, channel: str, sample: str, value: str) -> DataFrame:
+    """(entity, sample, value): the median profile over samples instead of channels.
+
+    A row takes part if one of its samples has two values or more; a sample's values are left out for an
+    entity where fewer rows have one than don't.
+    """
+    medians_of = df.filter(F.col(value).isNotNull()).groupBy(entity, row, sample).agg(F.median(value).alias(value), F.count("*").alias("_n"))
+    several = medians_of.groupBy(entity, row).agg(F.max("_n").alias("_most")).filter("_most >= 2").select(entity, row)
+    kept = medians_of.join(several, [entity, row]).drop("_n")
+    of_sample = kept.groupBy(entity, sample).agg(F.count("*").alias("_d")).join(several.groupBy(entity).agg(F.count("*").alias("_r")), entity)
+    enough = of_sample.filter(2 * F.col("_d") >= F.col("_r")).select(entity, sample)
+    return median_profile(kept.join(enough, [entity, sample]), entity, row, sample, value)
+
+
+def label_free(children: DataFrame, channel: str, value: str, method: str = "sum") -> DataFrame:
+    """(peptide_key, channel, value, n_ions): features of runs, by master feature (an ion), then by peptide.
+
+    children: (master_id, peptide_id, channel, value, n_matches).  A master feature without a peptide is a peptide of its
+    own, keyed by its id behind a minus. method: sum of the ions, or best_ion.
+    """
+    key = F.when(F.col("peptide_id").isNotNull(), F.col("peptide_id").cast("string")).otherwise(F.concat(F.lit("-"), F.col("master_id").cast("string")))
+    ions = children.groupBy(key.alias("peptide_key"), "master_id", channel).agg(F.sum(F.col(value).cast("decimal(28,6)")).alias("_v"), F.sum("n_matches").alias("_m"))
+    n = ions.groupBy("peptide_key").agg(F.count_distinct("master_id").alias("n_ions"))
+    if method == "best_ion":
+        best = best_row(ions.withColumn("_w", F.col("_v")), "peptide_key", "master_id", "_w", "_m")
+        ions = ions.join(best, ["peptide_key", "master_id"])
+    return ions.groupBy("peptide_key", channel).agg(F.sum("_v").cast("double").alias(value)).join(n, "peptide_key")
+
+
+def label_channels(ions: DataFrame, tags: dict[str, list[int]], value: str, key: list[str]) -> DataFrame:
+    """(key, form, label, value, n): abundances of residue-labelled peptides by label.
+
+    tags: label -> ids of its PTMs; the label with none is that of peptides without any tag. form: the sequence with the
+    PTMs that are no tags, so all labels of a peptide share it. ions: (key, sequence, ptm_ids, value).
+    """
+    every = F.array(*(F.lit(i) for ids in tags.values() for i in ids)).cast("array<int>")
+    held = lambda ids: F.exists("ptm_ids", lambda x: x.isin(*ids))
+    label = F.coalesce(*(F.when(held(ids), F.lit(t)) for t, ids in tags.items() if ids), F.lit(next((t for t, ids in tags.items() if not ids), None)))
+    form = F.concat_ws("%", "sequence", F.transform(F.array_sort(F.array_except("ptm_ids", every)), lambda x: x.cast("string")))
+    out = ions.select(*key, form.alias("form"), label.alias("label"), value).filter("label IS NOT NULL")
+    return out.groupBy(*key, "form", "label").agg(F.sum(F.col(value).cast("decimal(28,6)")).cast("double").alias(value), F.count("*").alias("n"))
+
+
+def relative_error_bins(df: DataFrame, abundance: str, ratio: str, bins: int) -> DataFrame:
+    """(bin, n, log_abundance, q1, q2, q3): quartiles of log ratios over equal-width bins of log10 abundance, the relative error model."""
+    logs = df.filter((F.col(abundance) > 0) & (F.col(ratio) > 0)).select(F.log10(abundance).alias("x"), F.log(ratio).alias("s"))
+    ends = logs.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    at = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)).cast("int")
+    binned = materialised(logs.crossJoin(F.broadcast(ends)).select(at.alias("bin"), "x", "s"), "error-bins")  # one row
+    quartiles = percentiles(binned, ["bin"], "s", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return quartiles.join(binned.groupBy("bin").agg(F.avg("x").alias("log_abundance")), "bin")
 
 
 def corrected_purity(df: DataFrame, row: list[str], channel: str, value: str, impurity: np.ndarray) -> DataFrame:

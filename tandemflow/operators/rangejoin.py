@@ -51,6 +51,16 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_a
     return joined.groupBy(*left.columns).agg(best).select(*left.columns, "_best.*")
 
 
+def by_identity(left: DataFrame, right: DataFrame, keys: list[str], time_tolerance: float, t: str = "t") -> DataFrame:
+    """(l_feature_id, r_feature_id): features of two maps identified as the same (peptide and charge) and near in time."""
+    a = left.select(*keys, F.col("feature_id").alias("l_feature_id"), F.col(t).alias("_lt"))
+    b = right.select(*keys, F.col("feature_id").alias("r_feature_id"), F.col(t).alias("_rt"))
+    near = F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))
+    a = a.withColumn("_b", F.floor(F.col("_lt") / time_tolerance)).withColumn("_b", near)
+    b = b.withColumn("_b", F.floor(F.col("_rt") / time_tolerance))
+    return a.join(b, [*keys, "_b"]).filter(F.abs(F.col("_lt") - F.col("_rt")) <= time_tolerance).select("l_feature_id", "r_feature_id")
+
+
 def inside_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, stop: str, width: float) -> DataFrame:
     """Points joined to the intervals [start, stop] that hold them; an interval is read in each bucket it touches."""
     touched = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width)))

@@ -47,6 +47,28 @@ def without_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_
     return child.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_semi")
 
 
+def purged(dropped: DataFrame, chain: list[tuple[DataFrame, str, str]]) -> list[DataFrame]:
+    """What stays of each table when ``dropped`` (id) goes, and with it all that hangs on it, level by level.
+
+    chain: (table, its key, the column that names its parent), from the top down; the first hangs on ``dropped``.
+    """
+    out, gone = [], dropped.select(F.col("id").alias("_gone")).distinct()
+    for df, key, parent in chain:
+        out.append(df.join(gone, df[parent] == gone["_gone"], "left_anti"))
+        gone = df.join(gone, df[parent] == gone["_gone"], "left_semi").select(F.col(key).alias("_gone")).distinct()
+    return out
+
+
+def cloned(tables: dict[str, DataFrame], mapping: DataFrame, columns: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """A copy of whole tables with all the named id columns replaced. mapping: (old_id, new_id)."""
+    out = {}
+    for name, df in tables.items():
+        for c in columns.get(name, []):
+            df = remapped(df, mapping, c)
+        out[name] = df
+    return out
+
+
 def object_tree(df: DataFrame, key: str, schema_name: str) -> DataFrame:
     """(key, schema_name, clob_data): every other column as one JSON document."""
     return df.select(key, F.lit(schema_name).alias("schema_name"), F.to_json(F.struct(*(c for c in df.columns if c != key))).alias("clob_data"))

@@ -54,8 +54,7 @@ query("q48_summarize_top3", "quant", _RANKED.format("median(raw_abundance)", 3)
 query("q48_summarize_maxsum", "quant", _RANKED.format(_X, 1) + _BY.format(_X + " / count(raw_abundance)", "quant JOIN w USING (entity_id, row_id)"))(_summary("max_sum"))
 
 
-@query(
-    "q49_median_profile", "quant",
+_PROFILE = (
     _RANKED.format("median(raw_abundance)", 3)
     + f""", s AS (SELECT entity_id, qc_id, dense_rank() OVER (PARTITION BY entity_id ORDER BY qc_id) AS i FROM (SELECT DISTINCT entity_id, qc_id FROM quant)),
     p AS (SELECT q.entity_id, q.row_id, s.i, q.raw_abundance AS x FROM quant q JOIN s USING (entity_id, qc_id)),
@@ -65,8 +64,11 @@ query("q48_summarize_maxsum", "quant", _RANKED.format(_X, 1) + _BY.format(_X + "
       FROM s LEFT JOIN r ON r.entity_id = s.entity_id AND r.i = s.i),
     t AS (SELECT entity_id, qc_id, {_X} / count(raw_abundance) AS top FROM quant JOIN w USING (entity_id, row_id) GROUP BY 1, 2),
     k AS (SELECT l.entity_id, arg_max(top / pr, (top, -l.qc_id)) AS scale FROM l JOIN t ON t.entity_id = l.entity_id AND t.qc_id = l.qc_id GROUP BY 1)
-    SELECT l.entity_id, l.qc_id, floor(pr * scale * 1e2 + 5e-1) / 1e2 AS raw_abundance FROM l JOIN k ON k.entity_id = l.entity_id""",
-)
+    SELECT l.entity_id, l.qc_id, floor(pr * scale * 1e2 + 5e-1) / 1e2 AS raw_abundance FROM l JOIN k ON k.entity_id = l.entity_id"""
+)
+
+
+@query("q49_median_profile", "quant", _PROFILE)
 def q49(v: Views):
     out = quant.median_profile(v.quant, "entity_id", "row_id", "qc_id", "raw_abundance")
     return out.withColumn("raw_abundance", rounded(F.col("raw_abundance"), 2))
@@ -144,7 +146,8 @@ def q60(v: Views):
 
 @query("q61_t_test")
 def q61(v: Views):
-    return quant.group_t_test(_grouped(v), ["entity_id"], "group_number", "raw_abundance", 2, 1)
+    each = v.quant.groupBy("entity_id").agg(F.median("raw_abundance").alias("m"), F.stddev_samp("raw_abundance").alias("s"))
+    return quant.group_t_test(_grouped(v), ["entity_id"], "group_number", "raw_abundance", 2, 1, quant.error_bins(each, "m", "s", 10))
 
 
 @query("q64_gaussian_impute")

@@ -173,7 +173,8 @@ def q62(v: Views):
 
 @query(
     "q63_savgol", "",
-    """SELECT event_id, floor(coalesce((17 * value - 3 * lag(value, 2) OVER w + 12 * lag(value, 1) OVER w + 12 * lead(value, 1) OVER w - 3 * lead(value, 2) OVER w) / 35, value) * 1e6 + 5e-1) / 1e6 AS smooth
+    """SELECT event_id, floor(coalesce((143 * value + 120 * (lag(value, 1) OVER w + lead(value, 1) OVER w) + 60 * (lag(value, 2) OVER w + lead(value, 2) OVER w) - 10 * (lag(value, 3) OVER w + lead(value, 3) OVER w)
+      - 45 * (lag(value, 4) OVER w + lead(value, 4) OVER w) + 18 * (lag(value, 5) OVER w + lead(value, 5) OVER w)) / 429, value) * 1e6 + 5e-1) / 1e6 AS smooth
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )
 def q63(v: Views):

@@ -19,9 +19,27 @@ def test_intensities(spark):
     assert got["top3_mean"] == pytest.approx(6)
     x = np.array([2.0, 3.0, 4.0, 4.5])
     assert got["area_above_half"] == pytest.approx(np.trapezoid(np.interp(x, t, y) - 4, x))
-    s = [p["intensity"] for p in got["s"]]
-    assert s[:2] == [0, 1]
-    assert s[3] == pytest.approx(np.dot([-3, 12, 17, 12, -3], y[1:6]) / 35)
+    assert [p["intensity"] for p in got["s"]] == y.tolist()
+
+
+def test_smoothing_and_fits(spark):
+    x = np.arange(25.0)
+    bell = 50 * np.exp(-(((x - 11.3) / 3.1) ** 2) / 2)
+    noisy = bell + np.random.default_rng(1).normal(0, 1, 25)
+    rows = [(1, list(zip(x.tolist(), noisy.tolist(), strict=True))), (2, list(zip(x.tolist(), bell.tolist(), strict=True))), (3, [(0.0, 1.0)]), (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "id long, p array<struct<time:double,intensity:double>>")
+    p = F.col("p")
+    got = {r["id"]: r for r in df.select("id", peaks.smoothed(p).alias("s"), peaks.fitted(p, "gaussian").alias("g"), peaks.fitted(p, "quadratic").alias("q")).collect()}
+    values = lambda c: np.array([v["intensity"] for v in c])
+    powers = np.vander(np.arange(-5.0, 6.0), 5)
+    weights = np.linalg.pinv(powers)[-1]  # the fitted polynomial's value in the middle
+    for at in range(5, 20):
+        assert values(got[1]["s"])[at] == pytest.approx(weights @ noisy[at - 5 : at + 6])
+    assert values(got[1]["s"])[:5].tolist() == noisy[:5].tolist()
+    assert values(got[2]["g"]) == pytest.approx(bell, rel=1e-6)
+    use = bell >= bell.max() / 2
+    assert values(got[2]["q"])[use] == pytest.approx(np.polyval(np.polyfit(x[use], bell[use], 2), x[use]))
+    assert [len(got[i][c]) for i in (3, 4) for c in "sgq"] == [1, 1, 1, 0, 0, 0]
 
 
 def test_isotopes(spark):
