@@ -381,3 +381,17 @@ def link(table: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", vector:
     joined = rows.select("id", "class").join(per_class, "class", "left").join(groups, "id", "left")
     component = F.coalesce("component", "id")
     return joined.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+#: The links by all pairs.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+u AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS l FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) >= 9e-1 * a.l * b.l),
+r(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON l.a = r.b),
+root AS (SELECT a AS id, least(a, min(b)) AS root FROM r GROUP BY a),
+n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN root ON root.id = vec_id LEFT JOIN n ON n.id = vec_id
+"""

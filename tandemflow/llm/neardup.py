@@ -375,3 +375,23 @@ def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, text) of the classes wanted: the text of the class's first row."""
     named = classes.join(wanted, "class").select("class", "first.id", "first.text_hash")
     return rows.join(named, ["id", "text_hash"]).select("class", "text").dropDuplicates(["class"])
+
+
+#: The links by all pairs that share a shingle, for op5 (shingles of four words).
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM t),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+k AS (SELECT doc_id, g, md5(array_to_string(list_sort(g), chr(1))) AS k FROM s WHERE len(g) > 0),
+c AS (SELECT min(doc_id) AS id, k, any_value(g) AS g, len(any_value(g)) AS n FROM k GROUP BY k),
+e AS (SELECT id, n, unnest(g) AS x FROM c),
+pairs AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+r(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON l.a = r.b),
+root AS (SELECT a AS id, least(a, min(b)) AS root FROM r GROUP BY a),
+class AS (SELECT k.doc_id, c.id FROM k JOIN c USING (k))
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(root, class.id, n.doc_id) AS component_id, n.doc_id = coalesce(root, class.id, n.doc_id) AS kept
+FROM n LEFT JOIN class ON class.doc_id = n.doc_id LEFT JOIN root ON root.id = class.id
+"""

@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE_SQL}
+    return {"op4_mix_sources": mixing.ORACLE_SQL, "op5_minhash_near_dedup": neardup.ORACLE_SQL, "op10_embedding_near_dedup": covertree.ORACLE_SQL}
