@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .running import binned, running, running_min
+from .storage import materialised
 
 
 def estimate(target: Column, decoy: Column, method: str = "two_fold", ratio: float = 1.0) -> Column:
@@ -40,18 +41,19 @@ def roc(df: DataFrame, keys: list[str], threshold: str = "threshold", method: st
 
 
 def roc_edges(curve: DataFrame, keys: list[str], threshold: str = "threshold") -> DataFrame:
-    """Points where the decoy count differs from that before or after, per key.
+    """(keys, threshold, target, decoy) of the points where the decoy count differs from that before or after, per key.
 
-    Decoy counts don't fall along the curve, so a point has no neighbour of its count on a side if it
-    is the first or the last of all points of that count: an aggregation by count, no ordering.
+    Counts don't fall along the curve, so the points of a decoy count lie together, and only its first and its
+    last can have another count beside them: an aggregation by count, no ordering.
     """
-    ends = curve.groupBy(*keys, "decoy").agg(F.max(threshold).alias("_first"), F.min(threshold).alias("_last"))
-    whole = curve.groupBy(*keys).agg(F.max(threshold).alias("_best"), F.min(threshold).alias("_worst"))
-    joined = curve.join(ends, [*keys, "decoy"])
-    joined = joined.join(whole, keys) if keys else joined.crossJoin(F.broadcast(whole))  # one row
-    first = (F.col(threshold) == F.col("_first")) & (F.col(threshold) != F.col("_best"))
-    last = (F.col(threshold) == F.col("_last")) & (F.col(threshold) != F.col("_worst"))
-    return joined.filter(first | last).select(*curve.columns)
+    high, low = F.max(threshold).alias("high"), F.min(threshold).alias("low")
+    of_count = materialised(curve.groupBy(*keys, "decoy").agg(high, low, F.min("target").alias("t_high"), F.max("target").alias("t_low")), "roc-edges")
+    whole = of_count.groupBy(*keys).agg(F.min("decoy").alias("fewest"), F.max("decoy").alias("most"))
+    joined = of_count.join(whole, keys) if keys else of_count.crossJoin(F.broadcast(whole))  # one row
+    first, last, alone = F.col("decoy") != F.col("fewest"), F.col("decoy") != F.col("most"), F.col("high") == F.col("low")
+    at = lambda c, t: F.struct(F.col(c).alias(threshold), F.col(t).alias("target"))
+    ends = F.array(F.when(first | (alone & last), at("high", "t_high")), F.when(~alone & last, at("low", "t_low")))
+    return joined.select(*keys, F.explode(ends).alias("p"), "decoy").filter("p IS NOT NULL").select(*keys, "p.*", "decoy")
 
 
 def roc_min(curve: DataFrame, keys: list[str], threshold: str = "threshold") -> DataFrame:
