@@ -168,11 +168,23 @@ def q67(v: Views):
     return quant.merged_fractions(v.quant, ["entity_id", "qc_id"], "raw_abundance", "sum")
 
 
-@query("q68_purity_correction")
+_IMPURITY = np.array([[0.95, 0.05, 0.0], [0.03, 0.94, 0.03], [0.0, 0.04, 0.96]])
+#: The system solved by Cramer's rule, for the SQL: cofactors of the transposed matrix over its determinant.
+_SOLVED = [[float(np.linalg.det(np.delete(np.delete(_IMPURITY.T, j, 0), i, 1))) * (-1) ** (i + j) / float(np.linalg.det(_IMPURITY.T)) for j in range(3)] for i in range(3)]
+_CORRECTED = " ".join(f"WHEN {i + 1} THEN " + " + ".join(f"({k!r}) * coalesce(x{j + 1}, 0)" for j, k in enumerate(row)) for i, row in enumerate(_SOLVED))
+
+
+@query(
+    "q68_purity_correction", "psm",
+    f""", r AS (SELECT query_id, charge, CAST(sum(CAST(score AS DECIMAL(18,5))) AS DOUBLE) AS value FROM psm GROUP BY 1, 2),
+    w AS (SELECT query_id, max(value) FILTER (charge = 1) AS x1, max(value) FILTER (charge = 2) AS x2, max(value) FILTER (charge = 3) AS x3 FROM r GROUP BY 1),
+    g AS (SELECT *, CAST(unnest([1, 2, 3]) AS INT) AS charge FROM w), o AS (SELECT *, CASE charge WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END AS own, CASE charge {_CORRECTED} END AS y FROM g)
+    SELECT query_id, charge, CASE WHEN own IS NOT NULL THEN floor(greatest(y, 0) * 1e6 + 4321e-4) / 1e6 END AS value FROM o""",
+)
 def q68(v: Views):
-    impurity = np.array([[0.95, 0.05, 0.0], [0.03, 0.94, 0.03], [0.0, 0.04, 0.96]])
-    reporter = v.psm.groupBy("query_id", "charge").agg(F.sum("score").alias("value"))
-    return quant.corrected_purity(reporter, ["query_id"], "charge", "value", impurity)
+    reporter = v.psm.groupBy("query_id", "charge").agg(F.sum(F.col("score").cast("decimal(18,5)")).cast("double").alias("value"))
+    out = quant.corrected_purity(reporter, ["query_id"], "charge", "value", _IMPURITY)
+    return out.withColumn("value", F.floor(F.col("value") * 1e6 + 4321e-4) / 1e6)
 
 
 @query(

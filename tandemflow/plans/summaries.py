@@ -1,4 +1,4 @@
-"""Catalogue: summaries, labels, samples, clusters of peptides and sites, calibration (q100 to q112, and SQL of q60 and q68)."""
+"""Catalogue: summaries, labels, samples, clusters of peptides and sites, calibration (q100 to q115)."""
 
 from __future__ import annotations
 
@@ -192,6 +192,19 @@ def q112(v: Views):
     return bound.withColumn("bound", rounded(F.col("bound"), 6))
 
 
+@query(
+    "q115_ratio_z", "quant channel",
+    """, m AS (SELECT entity_id, median(CASE WHEN group_number = 2 THEN raw_abundance END) AS a, median(CASE WHEN group_number = 1 THEN raw_abundance END) AS b FROM quant JOIN channel USING (qc_id) GROUP BY 1),
+    l AS (SELECT entity_id, ln(a / b) AS x FROM m WHERE a > 0 AND b > 0), q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM l),
+    z AS (SELECT entity_id, (x - q2) / ((q3 - q1) / 1349e-3) AS z FROM l, q)
+    SELECT entity_id, floor(z * 1e6 + 4321e-4) / 1e6 AS z, floor((1 - 2 / pi() * atan(abs(z))) * 1e6 + 4321e-4) / 1e6 AS cauchy_p FROM z""",
+)
+def q115(v: Views):
+    z = quant.ratio_z(quant.group_ratio(v.quant.join(v.channel, "qc_id"), ["entity_id"], "group_number", "raw_abundance", 2, 1))
+    at = lambda c: F.floor(c * 1e6 + 4321e-4) / 1e6
+    return z.select("entity_id", at(F.col("z")).alias("z"), at(quant.cauchy_p(F.col("z"))).alias("cauchy_p"))
+
+
 @query(
     "q113_fraction_most_intense", "quant",
     "SELECT entity_id, qc_id, max(raw_abundance) AS raw_abundance FROM quant GROUP BY 1, 2",
