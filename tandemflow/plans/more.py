@@ -82,7 +82,15 @@ def q77(v: Views):
     return kept.select("mass_bin", rounded(F.col("t"), 1).alias("t"), rounded(F.col("dt"), 1).alias("dt"))
 
 
-@query("q78_optimal_set_rules")
+@query(
+    "q78_optimal_set_rules", "psm",
+    """, s AS (SELECT query_id, is_decoy, count(DISTINCT peptide_id) AS n_items, max(score) AS score FROM psm GROUP BY 1, 2),
+    g AS (SELECT n_items = 1 AS single, score, count(*) FILTER (NOT is_decoy) AS t, count(*) FILTER (is_decoy) AS d FROM s GROUP BY 1, 2),
+    c AS (SELECT single, score, CAST(sum(t) OVER w AS BIGINT) AS t, CAST(sum(d) OVER w AS BIGINT) AS d FROM g WINDOW w AS (PARTITION BY single ORDER BY score DESC)),
+    p AS (SELECT m.score AS multi_at, o.score AS single_at, m.t + o.t AS target, m.d + o.d AS decoy, 2e2 * (m.d + o.d) / (m.t + o.t + m.d + o.d) AS fdr FROM c m, c o WHERE NOT m.single AND o.single),
+    b AS (SELECT max(target) AS target FROM p WHERE fdr <= 66)
+    SELECT p.* FROM p JOIN b USING (target) WHERE fdr <= 66 ORDER BY fdr, multi_at, single_at LIMIT 1""",
+)
 def q78(v: Views):
     sets = v.psm.groupBy("query_id", "is_decoy").agg(F.count_distinct("peptide_id").alias("n_items"), F.max("score").alias("score"))
     return fdr.optimal_set_rules(sets, 66.0)
