@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import fdr, hierarchy
 from .filters import flag
 from .running import binned, running, running_min
+from .storage import materialised
 
 
 def benjamini_hochberg(df: DataFrame, most: float, keys: list[str], score: str = "score", **how) -> DataFrame:
@@ -57,7 +58,7 @@ def _states(sets: DataFrame, before: DataFrame, method: str, most: float) -> Dat
     A target set's own score is a threshold; a decoy set's threshold is just above its score (strict).
     before: one row of the target and decoy sets that are valid already.
     """
-    counted = sets.groupBy("score").agg(F.count_if(~F.col("is_decoy")).alias("t"), F.count_if("is_decoy").alias("d"))
+    counted = materialised(sets.groupBy("score").agg(F.count_if(~F.col("is_decoy")).alias("t"), F.count_if("is_decoy").alias("d")), "rule-counts")
     curve = running(counted, "score", {"target": F.col("t"), "decoy": F.col("d")}, []).crossJoin(F.broadcast(before))  # one row
     at = F.col("t0") + F.col("target"), F.col("d0") + F.col("decoy")
     above = at[0] - F.col("t"), at[1] - F.col("d")
@@ -66,6 +67,7 @@ def _states(sets: DataFrame, before: DataFrame, method: str, most: float) -> Dat
         F.when((F.col("t") > 0) & (at[0] > 0), F.struct(at[0].alias("target"), at[1].alias("decoy"), fdr.estimate(*at, method).alias("fdr"))).alias("upto"),
         F.when((F.col("d") > 0) & (above[0] > 0), F.struct(above[0].alias("target"), above[1].alias("decoy"), fdr.estimate(*above, method).alias("fdr"))).alias("above"),
     )
+    curve = materialised(curve, "rule-curve")
     worst = -F.greatest(F.coalesce("above.fdr", F.lit(0.0)), F.coalesce("upto.fdr", F.lit(0.0)))
     passed = running_min(binned(curve.withColumn("_worst", worst), "score", []), "score", "_worst", "_earlier", [], descending=True, inclusive=False)
     earlier = -F.coalesce("_earlier", F.lit(0.0))
@@ -75,7 +77,7 @@ def _states(sets: DataFrame, before: DataFrame, method: str, most: float) -> Dat
         F.when(F.greatest(first, F.coalesce("upto.fdr", F.lit(0.0))) <= most, F.struct(F.lit(False).alias("strict"), F.col("upto").alias("p"))),
     )
     each = passed.select(F.col("score").alias("threshold"), F.explode(points).alias("x")).filter("x.p.fdr IS NOT NULL")
-    return each.select("threshold", "x.strict", "x.p.*")
+    return materialised(each.select("threshold", "x.strict", "x.p.*"), "rule-points")
 
 
 def _chosen(points: DataFrame, expected: float) -> DataFrame:
@@ -93,11 +95,12 @@ def sequential_set_rules(sets: DataFrame, expected: float, method: str = "two_fo
     or above it if that is strict; a rule without a point leaves all its sets invalid, and has no row.
     sets: (n_items, score, is_decoy).
     """
-    sets = sets.filter("score IS NOT NULL").select("n_items", "score", "is_decoy")
+    sets = materialised(sets.filter("score IS NOT NULL").select("n_items", "score", "is_decoy"), "rule-sets")
     none = sets.limit(0).agg(F.count("*").alias("t0"), F.count("*").alias("d0"))
-    many = _chosen(_states(sets.filter("n_items > 1"), none, method, most), expected)
+    many = materialised(_chosen(_states(sets.filter("n_items > 1"), none, method, most), expected), "rule-several")
     valid = (F.col("score") > F.col("p.threshold")) | ((F.col("score") == F.col("p.threshold")) & ~F.col("p.strict"))
     judged = sets.crossJoin(F.broadcast(many)).withColumn("ok", (F.col("n_items") > 1) & F.coalesce(valid, F.lit(False)))  # one row
+    judged = materialised(judged, "rule-judged")
     before = judged.filter("ok").agg(F.count_if(~F.col("is_decoy")).alias("t0"), F.count_if("is_decoy").alias("d0"))
     rest = _chosen(_states(judged.filter("NOT ok").select("score", "is_decoy"), before, method, most), expected)
     both = many.select(F.lit("several").alias("rule"), "p").unionByName(rest.select(F.lit("remaining").alias("rule"), "p"))
