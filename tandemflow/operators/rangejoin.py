@@ -6,7 +6,7 @@ in its own and both neighbours, so each pair meets once and the rest is an equi-
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,14 +41,24 @@ def unique_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, within: float, tie: str) -> DataFrame:
     """Each left row with the right row of equal keys nearest in ``at``, no farther than ``within``.
 
-    left and right share only the keys; the tie goes to the smaller ``tie``.
+    left and right share only the keys; the tie goes to the smaller ``tie``.  No pairs are made: both sides stand in one
+    order in each bucket, where a left row's nearest is the last right row before it or the first after it.
     """
-    a = left.withColumn("_bucket", near_buckets(F.col(at), within))
-    b = right.withColumn("_bucket", F.floor(F.col(right_at) / within))
-    joined = a.join(b, [*keys, "_bucket"]).filter(F.abs(F.col(at) - F.col(right_at)) <= within)
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
     right_columns = [c for c in right.columns if c not in keys]
-    best = F.min_by(F.struct(*right_columns), F.struct(F.abs(F.col(at) - F.col(right_at)).alias("d"), F.col(tie).alias("t"))).alias("_best")
-    return joined.groupBy(*left.columns).agg(best).select(*left.columns, "_best.*")
+    once = right.filter(finite(right_at)).groupBy(*keys, right_at).agg(F.min_by(F.struct(*right_columns), tie).alias("_r"))
+    b = once.select(*keys, near_buckets(F.col(right_at), within).alias("_bucket"), F.col(right_at).cast("double").alias("_at"), F.lit(None).alias("_l"), "_r")
+    a = left.filter(finite(at)).select(*keys, F.floor(F.col(at) / within).alias("_bucket"), F.col(at).cast("double").alias("_at"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))
+    bucket = Window.partitionBy(*keys, "_bucket")
+    seen = lambda order: F.last("_r", True).over(bucket.orderBy(order, F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    both = a.unionByName(b).select("_l", seen(F.col("_at").asc()).alias("_before"), seen(F.col("_at").desc()).alias("_after")).filter(F.col("_l").isNotNull())
+
+    def reached(side: str) -> Column:
+        away = F.abs(F.col(f"_l.{at}") - F.col(f"{side}.{right_at}"))
+        return F.when(away <= within, F.struct(away.alias("d"), F.col(f"{side}.{tie}").alias("t"), F.col(side).alias("r")))
+
+    best = both.select("_l.*", F.array_min(F.array(reached("_before"), reached("_after"))).alias("_best")).filter(F.col("_best").isNotNull())
+    return best.select(*left.columns, "_best.r.*")
 
 
 def by_identity(left: DataFrame, right: DataFrame, keys: list[str], time_tolerance: float, t: str = "t") -> DataFrame:
