@@ -11,6 +11,7 @@ from ..functions.columns import interpolate
 from ..functions.numerics import loess
 from . import rangejoin
 from .peaks import SMOOTHING, SMOOTHING_SUM
+from .quantiles import medians_of_counts
 
 
 def landmarks(left: DataFrame, right: DataFrame, mz_tolerance: float, time_tolerance: float, mass_bin: float) -> DataFrame:
@@ -125,8 +126,14 @@ def map_factors(features: DataFrame, method: str) -> DataFrame:
 
 
 def ratio_factors(pairs: DataFrame) -> DataFrame:
-    """(map_id, factor): the median ratio of reference to child over master features. pairs: (map_id, reference, child)."""
-    return pairs.groupBy("map_id").agg(F.median(F.col("reference") / F.col("child")).alias("factor"))
+    """(map_id, factor): the median ratio of reference to child over master features. pairs: (map_id, reference, child).
+
+    A child of zero gives an infinite ratio (or none, NaN, to a reference of zero), above all others.
+    Pairs are many more than features: they are counted by their ratio where they are found.
+    """
+    ratio = F.when(F.col("child") == 0, F.col("reference") * float("inf")).otherwise(F.col("reference") / F.nullif("child", F.lit(0.0)))
+    counted = pairs.select("map_id", ratio.alias("_ratio")).filter(F.col("_ratio").isNotNull()).groupBy("map_id", "_ratio").agg(F.count("*").alias("_n"))
+    return medians_of_counts(counted, ["map_id"], "_ratio", "_n", "factor")
 
 
 def savitzky_golay(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -48,3 +48,24 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
 def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, name): the median of each key's values."""
     return percentiles(df, keys, value, {name: 0.5}).drop("n")
+
+
+def medians_of_counts(df: DataFrame, keys: list[str], value: str, count: str, name: str, bins: int = 256) -> DataFrame:
+    """(keys, name): the median of values that stand for ``count`` equal ones each; a key has each value once.
+
+    Cuts from a sketch of the values (of any weight) part them evenly; only what shares a bin with the median is put in order.
+    """
+    rows = materialised(df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(count).alias("_n")), "counts")
+    finite = F.when(F.abs("_v") < float("inf"), F.col("_v"))
+    sketch = F.percentile_approx(finite, F.array(*(F.lit(i / bins) for i in range(1, bins))), F.lit(ACCURACY))
+    cuts = materialised(rows.groupBy(*keys).agg(sketch.alias("_cuts"), ((F.sum("_n") - 1) / 2).alias("_at")), "cuts")
+    placed = rows.join(cuts, keys).withColumn("_bin", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))).drop("_cuts")
+    of_bin = placed.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m"), F.first("_at").alias("_at"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    holds = (F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_m") > F.floor("_at"))
+    middle = materialised(of_bin.withColumn("_before", before).filter(holds).select(*keys, "_bin", "_before"), "bins")  # one or two of a key
+    reached = F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    near = placed.join(middle, [*keys, "_bin"]).withColumn("_to", F.col("_before") + reached)
+    at = lambda rank: F.max(F.when((F.col("_to") - F.col("_n") <= rank) & (rank < F.col("_to")), F.col("_v")))
+    found = near.groupBy(*keys).agg(at(F.floor("_at")).alias("_lo"), at(F.ceil("_at")).alias("_hi"))
+    return found.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * 0.5).alias(name))

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Least width of a bucket of time in seconds, so that a row whose duration is long touches few.
+TIME_WIDTH = 3600.0
+
+
 def near_buckets(value: Column, width: float) -> Column:
     """The bucket and its neighbours."""
     at = F.floor(value / width)
@@ -19,17 +23,23 @@ def near_buckets(value: Column, width: float) -> Column:
 def boxes(left: DataFrame, right: DataFrame, keys: list[str], mz_tolerance: float, time_tolerance: float, ppm: bool = False, max_mz: float = 5000.0) -> DataFrame:
     """Pairs (l_ and r_ columns) of equal keys, |dm/z| < tolerance and |dt| < the shorter duration + tolerance.
 
-    keys: all that must be equal; leave the charge out to tolerate other charges.
+    keys: all that must be equal; leave the charge out to tolerate other charges.  Left rows are read in each
+    bucket of time that they reach, so few pairs are looked at that aren't near in both.
     """
     width = max_mz * mz_tolerance / 1e6 if ppm else mz_tolerance
-    a = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns)).withColumn("_bucket", near_buckets(F.col("l_mz"), width))
-    b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("_bucket", F.floor(F.col("r_mz") / width))
+    span = max(time_tolerance, TIME_WIDTH)
+    longest = right.agg(F.max("duration").alias("_longest"))
+    reach = F.least("l_duration", "_longest") + time_tolerance + span / 1000  # a little more, for the rounding of times
+    touched = F.explode(F.sequence(F.floor((F.col("l_t") - reach) / span), F.floor((F.col("l_t") + reach) / span)))
+    a = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns)).crossJoin(F.broadcast(longest))  # one row
+    a = a.withColumn("_time", touched).drop("_longest").withColumn("_bucket", near_buckets(F.col("l_mz"), width))
+    b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumns({"_time": F.floor(F.col("r_t") / span), "_bucket": F.floor(F.col("r_mz") / width)})
     within = F.col("l_mz") * mz_tolerance / 1e6 if ppm else F.lit(mz_tolerance)
-    on = (a["_bucket"] == b["_bucket"]) & (F.abs(F.col("l_mz") - F.col("r_mz")) < within)
+    on = (a["_bucket"] == b["_bucket"]) & (a["_time"] == b["_time"]) & (F.abs(F.col("l_mz") - F.col("r_mz")) < within)
     on &= F.abs(F.col("l_t") - F.col("r_t")) < F.least("l_duration", "r_duration") + time_tolerance
     for k in keys:
         on &= F.col(f"l_{k}") == F.col(f"r_{k}")
-    return a.join(b, on).drop("_bucket")
+    return a.join(b, on).drop("_bucket", "_time")
 
 
 def unique_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tandemflow.operators import rangejoin
+from tandemflow.operators import alignment, rangejoin
 
 
 def plan(df) -> str:
@@ -24,3 +24,25 @@ def test_nearest_makes_no_pairs(spark):
     assert found.columns == ["id", "k", "t", "rid", "rt", "more"]
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "Join" not in plan(found)
+
+
+def test_boxes_meet_in_time(spark):
+    rng = np.random.default_rng(6)
+    kind = "feature_id long, charge int, mz double, t double, duration double"
+    of = lambda n: [(i, int(rng.integers(1, 3)), float(rng.integers(0, 40)) / 10, float(rng.integers(-9, 90)) * 1800.0, float(rng.choice([60.0, 3600.0, 9000.0]))) for i in range(n)]
+    a, b = [*of(150), (500, 1, 1.0, 0.0, None)], [*of(150), (501, 1, 1.0, 0.0, None), (502, 1, 1.0, None, 60.0)]
+    shorter = lambda x, y: min(v for v in (x, y) if v is not None)
+    for tolerance in (0.0, 7200.0):
+        pairs = rangejoin.boxes(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), ["charge"], 0.5, tolerance)
+        want = [(x[0], y[0]) for x in a for y in b if x[1] == y[1] and abs(x[2] - y[2]) < 0.5 and None not in (x[3], y[3]) and (x[4] or y[4]) and abs(x[3] - y[3]) < shorter(x[4], y[4]) + tolerance]
+        assert sorted((r[0], r[1]) for r in pairs.select("l_feature_id", "r_feature_id").collect()) == sorted(want)
+        assert "_time" in plan(pairs)  # rows of all times don't meet
+
+
+def test_ratio_factors_with_zeros(spark):
+    rng = np.random.default_rng(7)
+    of = {1: [(5.0, 0.0), (0.0, 0.0), (1.0, 2.0), (4.0, 2.0), (9.0, 3.0)], 2: [(1.0, 0.0), (2.0, 0.0), (1.0, 1.0)], 3: [(float(x), float(y)) for x, y in rng.integers(1, 60, (4000, 2))], 4: [(1.0, 4.0), (1.0, 2.0)]}
+    df = spark.createDataFrame([(k, x, y) for k, v in of.items() for x, y in v], "map_id int, reference double, child double").repartition(3)
+    got = {r["map_id"]: r["factor"] for r in alignment.ratio_factors(df).collect()}
+    assert got.pop(2) == float("inf")
+    assert got == {1: 3.0, 3: np.median([x / y for x, y in of[3]]), 4: 0.375}
