@@ -36,8 +36,8 @@ def grid(df: DataFrame, row: list[str], channel: str, value: str, channels: list
 def impute_percentile(df: DataFrame, row: list[str], channel: str, value: str, channels: list[int], percent: float = 0.01, least: int = 10) -> DataFrame:
     """The full grid; missing values get their channel's noise, a low percentile of what it has (of ``least`` rows or more)."""
     noise = percentiles(df, [channel], value, {"_noise": percent})
-    noise = noise.select(channel, F.when(F.col("n") >= least, F.col("_noise")).alias("_noise"))
-    full = grid(df, row, channel, value, channels).join(noise, channel, "left")
+    noise = noise.filter(F.col(channel).isin(channels)).select(channel, F.when(F.col("n") >= least, F.col("_noise")).alias("_noise"))
+    full = grid(df, row, channel, value, channels).join(F.broadcast(noise), channel, "left")  # a row for each of ``channels``
     return full.withColumn("imputed", F.col(value).isNull()).withColumn(value, F.coalesce(value, "_noise")).drop("_noise")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
-from tandemflow.operators import alignment, rangejoin
+from tandemflow.operators import alignment, quant, rangejoin
 
 
 def plan(df) -> str:
@@ -46,3 +47,18 @@ def test_ratio_factors_with_zeros(spark):
     got = {r["map_id"]: r["factor"] for r in alignment.ratio_factors(df).collect()}
     assert got.pop(2) == float("inf")
     assert got == {1: 3.0, 3: np.median([x / y for x, y in of[3]]), 4: 0.375}
+
+
+def test_grid_is_not_dealt_by_channel(spark):
+    rows = [(e, c, float(10 * e + c)) for e in range(40) for c in (1, 2, 3) if (e + c) % 4]
+    out = quant.impute_percentile(spark.createDataFrame(rows, "e int, c int, x double"), ["e"], "c", "x", [1, 2, 3, 4])
+    low = {c: np.percentile([x for _, k, x in rows if k == c], 1) for c in (1, 2, 3)} | {4: None}
+    had = {(e, c): x for e, c, x in rows}
+    assert {(r["e"], r["c"]): r["x"] for r in out.collect()} == {(e, c): had.get((e, c), low[c] and pytest.approx(low[c])) for e in range(40) for c in low}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = quant.impute_percentile(spark.createDataFrame(rows, "e int, c int, x double"), ["e"], "c", "x", [1, 2, 3, 4])
+        top = plan(again).split("BroadcastHashJoin")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in top and "Exchange" not in top  # few channels: dealt by them, few tasks would read all
