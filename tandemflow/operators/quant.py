@@ -27,10 +27,15 @@ def normalise(df: DataFrame, row: list[str], channel: str, value: str, first: in
     return df.join(factors, channel, "left").withColumn(name, F.col(value) * F.coalesce("factor", F.lit(1.0))).drop("factor")
 
 
-def grid(df: DataFrame, row: list[str], channel: str, value: str, channels: list[int]) -> DataFrame:
-    """(row, channel, value) of every row in every channel, null where missing: one group per row, no cross join."""
-    found = df.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct(channel, value))).alias("_m"))
-    return found.select(*row, F.explode(F.array(*map(F.lit, channels))).alias(channel), "_m").select(*row, channel, F.col("_m")[F.col(channel)].alias(value))
+def grid(df: DataFrame, row: list[str], channel: str, value: str, channels: list[int], of_row: dict[str, Column] | None = None) -> DataFrame:
+    """(row, channel, value) of every row in every channel, null where missing: one group per row, no cross join.
+
+    of_row: aggregates of the whole row that come along.
+    """
+    more = of_row or {}
+    found = df.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct(channel, value))).alias("_m"), *(c.alias(n) for n, c in more.items()))
+    spread = found.select(*row, F.explode(F.array(*map(F.lit, channels))).alias(channel), "_m", *more)
+    return spread.select(*row, channel, F.col("_m")[F.col(channel)].alias(value), *more)
 
 
 def impute_percentile(df: DataFrame, row: list[str], channel: str, value: str, channels: list[int], percent: float = 0.01, least: int = 10) -> DataFrame:
@@ -46,8 +51,7 @@ def impute_gaussian(df: DataFrame, row: list[str], channel: str, value: str, cha
 
     The draw is from a hash of the cell, so reruns and lost executors give the same numbers.
     """
-    mean = df.groupBy(*row).agg(F.avg(value).alias("_mean"))
-    full = grid(df, row, channel, value, channels).join(mean, row)
+    full = grid(df, row, channel, value, channels, {"_mean": F.avg(value)})
     uniform = lambda salt: (F.shiftrightunsigned(F.xxhash64(*row, channel, F.lit(seed + salt)), 11) + 1) / float(2**53 + 1)
     normal = F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))
     return full.withColumn("imputed", F.col(value).isNull()).withColumn(value, F.coalesce(F.col(value), F.col("_mean") * (1 + spread * normal))).drop("_mean")

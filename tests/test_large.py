@@ -62,3 +62,14 @@ def test_grid_is_not_dealt_by_channel(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in top and "Exchange" not in top  # few channels: dealt by them, few tasks would read all
+
+
+def test_gaussian_reads_its_rows_once(spark):
+    rows = [(e, c, float(100 * e + c)) for e in range(1, 30) for c in (1, 2, 3) if (e + c) % 3]
+    out = quant.impute_gaussian(spark.createDataFrame(rows, "e int, c int, x double"), ["e"], "c", "x", [1, 2, 3])
+    assert "Join" not in plan(out)
+    had = {(e, c): x for e, c, x in rows}
+    for r in out.collect():
+        at = (r["e"], r["c"])
+        assert r["imputed"] == (at not in had)
+        assert r["x"] == had[at] if at in had else r["x"] == pytest.approx(np.mean([x for e, _, x in rows if e == r["e"]]), rel=0.3)
