@@ -81,8 +81,9 @@ def typical(members: DataFrame, key: str, accession: str, rules: list[str]) -> D
 
 def razor(items: DataFrame, scores: DataFrame) -> DataFrame:
     """(item, set_id): each item to the set with most items of its own, then the best score, then the smallest id."""
-    n_sets = items.groupBy("item").agg(F.count_distinct("set_id").alias("n_sets"))
-    specific = items.distinct().join(n_sets, "item").withColumn("own", (F.col("n_sets") == 1).cast("int"))
+    items = materialised(items.distinct(), "razor-items")
+    n_sets = items.groupBy("item").agg(F.count("set_id").alias("n_sets"))
+    specific = items.join(n_sets, "item").withColumn("own", (F.col("n_sets") == 1).cast("int"))
     strength = specific.groupBy("set_id").agg(F.sum("own").alias("n_specific"))
     ranked = specific.join(strength, "set_id").join(scores, "set_id")
     first = F.row_number().over(Window.partitionBy("item").orderBy(F.col("n_specific").desc(), F.col("score").desc(), "set_id"))

@@ -23,7 +23,7 @@ def channel_factors(df: DataFrame, row: list[str], channel: str, value: str, fir
 
 def normalise(df: DataFrame, row: list[str], channel: str, value: str, first: int, name: str = "abundance") -> DataFrame:
     """``df`` with the value times its channel's factor (1 where no row has both)."""
-    factors = channel_factors(df, row, channel, value, first)
+    factors = materialised(channel_factors(df, row, channel, value, first), "factors")  # few: dealt by channel, few tasks would read all rows
     return df.join(factors, channel, "left").withColumn(name, F.col(value) * F.coalesce("factor", F.lit(1.0))).drop("factor")
 
 

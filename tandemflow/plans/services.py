@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster, hierarchy, inference, quant, rangejoin, ranking
+from ..operators.storage import materialised
 from .registry import query
 from .views import Views
 
@@ -108,9 +109,9 @@ def set_profiles(abundances: DataFrame, items: DataFrame, scores: DataFrame, gro
     abundances: (item, channel, value); items: (set_id, item); scores: (set_id, score); groups: (channel, group).
     """
     owned = abundances.join(inference.razor(items, scores), "item")
-    level = owned.groupBy("set_id", "channel").agg(F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("value"))
+    level = materialised(owned.groupBy("set_id", "channel").agg(F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("value")), "levels")
     normal = quant.normalise(level, ["set_id"], "channel", "value", first)
-    return quant.group_ratio(normal.join(groups, "channel"), ["set_id"], "group", "abundance", 2, 1, over)
+    return quant.group_ratio(normal.join(materialised(groups, "groups"), "channel"), ["set_id"], "group", "abundance", 2, 1, over)
 
 
 @query(
