@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Least width of a bucket of time in seconds, so that a row whose duration is long touches few.
 TIME_WIDTH = 3600.0
 
+#: Buckets of intervals in one width.
+FINE = 8
+
 
 def near_buckets(value: Column, width: float) -> Column:
     """The bucket and its neighbours."""
@@ -82,8 +85,12 @@ def by_identity(left: DataFrame, right: DataFrame, keys: list[str], time_toleran
 
 
 def inside_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, stop: str, width: float) -> DataFrame:
-    """Points joined to the intervals [start, stop] that hold them; an interval is read in each bucket it touches."""
-    touched = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width)))
-    a = points.withColumn("_bucket", F.floor(F.col(at) / width))
+    """Points joined to the intervals [start, stop] that hold them; an interval is read in each bucket it touches.
+
+    Buckets are an eighth of ``width``, the intervals' own scale: few points then meet an interval that doesn't hold them.
+    """
+    fine = width / FINE
+    touched = F.explode(F.sequence(F.floor(F.col(start) / fine), F.floor(F.col(stop) / fine)))
+    a = points.withColumn("_bucket", F.floor(F.col(at) / fine))
     b = intervals.withColumn("_bucket", touched)
     return a.join(b, [*keys, "_bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(stop))).drop("_bucket")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tandemflow.operators import alignment, quant, rangejoin
 
@@ -73,3 +74,17 @@ def test_gaussian_reads_its_rows_once(spark):
         at = (r["e"], r["c"])
         assert r["imputed"] == (at not in had)
         assert r["x"] == had[at] if at in had else r["x"] == pytest.approx(np.mean([x for e, _, x in rows if e == r["e"]]), rel=0.3)
+
+
+def test_intervals_meet_few_points_outside(spark):
+    starts = [(i, float(s), s + 1800.0) for i, s in enumerate(range(0, 40000, 130))]
+    points = [(i, float(t)) for i, t in enumerate(range(-100, 42000, 90))]
+    a, b = spark.createDataFrame(points, "p long, t double"), spark.createDataFrame(starts, "i long, s double, e double")
+    a, b = a.withColumn("k", F.lit(0)), b.withColumn("k", F.lit(0))
+    inside = rangejoin.inside_intervals(a, b, ["k"], "t", "s", "e", 3600.0)
+    want = [(p, i) for p, t in points for i, s, e in starts if s <= t <= e]
+    assert sorted((r["p"], r["i"]) for r in inside.select("p", "i").collect()) == sorted(want)
+    met = rangejoin.inside_intervals(a.withColumn("_t", F.col("t")), b, ["k"], "t", "s", "e", 3600.0)
+    fine = 3600.0 / rangejoin.FINE
+    looked_at = sum(s // fine <= t // fine <= e // fine for _, t in points for _, s, e in starts)
+    assert met.count() <= looked_at < 1.4 * len(want)
