@@ -13,6 +13,23 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.floor(c * float(10**digits) + 5e-1) / float(10**digits)
 
 
+def between(low: Column, high: Column, share: Column) -> Column:
+    """low (1 - share) + high share as SQL's quantile_cont rounds it: the first product isn't rounded before it is added.
+
+    The product's rounding error and the sum's are found by splitting the factors (Dekker, Knuth) and added at the end.
+    """
+    rest = 1 - share
+    a, b = low * rest, high * share
+    half = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    lh, rh = half(low), half(rest)
+    ll, rl = low - lh, rest - rh
+    lost = ((lh * rh - a) + lh * rl + ll * rh) + ll * rl
+    total = a + b
+    part = total - a
+    exact = total + (((a - (total - part)) + (b - part)) + lost)
+    return F.when((low == high) | (share == 0), low).when(F.abs(low) + F.abs(high) < 1e290, exact).otherwise(total)
+
+
 def defined(c: Column) -> Column:
     """Null for what counts as missing in abundances: null, NaN and 0."""
     return F.when(~F.isnan(c) & (c != 0), c)

@@ -11,7 +11,9 @@ from ..functions.columns import interpolate
 from ..functions.numerics import loess
 from . import rangejoin
 from .peaks import SMOOTHING, SMOOTHING_SUM
-from .quantiles import medians_of_counts
+from .quantiles import medians_of_counts, percentiles
+from .running import BINS
+from .storage import materialised
 
 
 def landmarks(left: DataFrame, right: DataFrame, mz_tolerance: float, time_tolerance: float, mass_bin: float) -> DataFrame:
@@ -62,15 +64,31 @@ def monotone(marks: DataFrame, keys: list[str]) -> DataFrame:
     return folded.select(*keys, F.explode("m").alias("m")).select(*keys, "m.*")
 
 
+def stepped(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """``marks`` with _step: dt less that of the one before in the key's order of t and dt (nulls last).
+
+    Found in bins of time: a landmark's predecessor is in its bin or is the last of an earlier one.
+    """
+    ends = materialised(marks.groupBy(*keys).agg(F.min("t").alias("_low"), F.max("t").alias("_high")), "ends")  # few: dealt by key, few tasks would read all rows
+    share = (F.col("t") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    at = F.when(F.col("t").isNull(), BINS).otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1)))
+    placed = marks.join(ends, keys).withColumn("_bin", at.cast("int")).drop("_low", "_high")
+    last = F.max_by(F.struct("dt"), F.struct(F.isnull("t"), "t", F.isnull("dt"), "dt"))
+    earlier = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    ends_of = placed.groupBy(*keys, "_bin").agg(last.alias("_last")).select(*keys, "_bin", earlier.alias("_earlier"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(F.col("t").asc_nulls_last(), F.col("dt").asc_nulls_last())
+    before = F.when(F.row_number().over(inside) == 1, F.col("_earlier.dt")).otherwise(F.lag("dt").over(inside))
+    return placed.join(ends_of, [*keys, "_bin"]).withColumn("_step", F.col("dt") - before).drop("_bin", "_earlier")
+
+
 def without_outliers(marks: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
     """Landmarks whose step in dt from the one before stays within the outer fences (3 IQR), pass after pass."""
     for _ in range(passes):
-        w = Window.partitionBy(*keys).orderBy("t", "dt")
-        stepped = marks.withColumn("_step", F.col("dt") - F.lag("dt").over(w))
-        q = stepped.groupBy(*keys).agg(F.percentile("_step", F.lit(0.25)).alias("_q1"), F.percentile("_step", F.lit(0.75)).alias("_q3"))
+        steps = materialised(stepped(marks, keys), "steps")
+        q = materialised(percentiles(steps, keys, "_step", {"_q1": 0.25, "_q3": 0.75}), "fences")
         reach = 3 * (F.col("_q3") - F.col("_q1"))
         inside = F.col("_step").isNull() | F.col("_step").between(F.col("_q1") - reach, F.col("_q3") + reach)
-        marks = stepped.join(q, keys).filter(inside).drop("_step", "_q1", "_q3")
+        marks = steps.join(q, keys, "left").filter(inside).select(*marks.columns)
     return marks
 
 

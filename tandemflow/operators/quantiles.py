@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import between
 from .storage import materialised
 
 #: The sketch's ranks are off by at most one in so many.
@@ -39,7 +40,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     low = F.when((first <= F.floor("_at")) & (F.floor("_at") <= last), F.col("_v"))
     high = F.when((first <= F.ceil("_at")) & (F.ceil("_at") <= last), F.col("_v"))
     found = placed.withColumns({"_lo": low, "_hi": high}).groupBy(*keys, "_i").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.first("_at").alias("_at"))
-    value_at = F.col("_lo") + (F.col("_at") - F.floor("_at")) * (F.col("_hi") - F.col("_lo"))
+    value_at = between(F.col("_lo"), F.col("_hi"), F.col("_at") - F.floor("_at"))
     out = found.groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(wanted)))
     sizes = bounds.select(*keys, "n")
     return sizes.join(out, keys) if keys else sizes.crossJoin(F.broadcast(out))  # one row
