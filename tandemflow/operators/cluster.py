@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import binned, running
+from .storage import materialised
 
 
 def islands(df: DataFrame, keys: list[str], value: str, gap: float, name: str = "island") -> DataFrame:
@@ -125,16 +126,34 @@ def site_clusters(matches: DataFrame, partial: bool = True) -> DataFrame:
     matches: (protein_id, peptide_id, start, stop, sites array<struct<position, ptm>>).  Matches of equal sites are
     isomorphic: one cluster.  partial: a match whose sites are part of a cluster's joins it as partially isomorphic, if it
     doesn't reach to any of the other sites; if it does, it conflicts.  Going from most sites to fewest a
-    cluster never depends on the one before, so there is no order: a smaller match meets the clusters
-    that hold its first site.
+    cluster never depends on the one before, so there is no order.  A match's sites lie between its start and its
+    stop, so those it joins have just these sites there: they are a run of the cluster's, and matches meet equal runs only.
     """
-    sorted_ = matches.filter(F.size("sites") > 0).withColumn("sites", F.array_sort("sites"))
-    same = sorted_.select("protein_id", "sites", "peptide_id", F.lit("isomorphic").alias("status")).distinct()
+    sorted_ = materialised(matches.filter(F.size("sites") > 0).select("protein_id", "peptide_id", "start", "stop", F.sort_array("sites").alias("sites")), "site-matches")
+    peptide = ["protein_id", "peptide_id"]
+    repeated = materialised(sorted_.groupBy(*peptide).agg(F.count("*").alias("n")).filter("n > 1").select(*peptide), "repeated")
+
+    def once(rows: DataFrame) -> DataFrame:
+        """Distinct rows; only peptides that match a protein more than once can give one twice."""
+        several = rows.join(repeated, [F.equal_null(rows[c], repeated[c]) for c in peptide], "left_semi")
+        return rows.join(repeated, [F.equal_null(rows[c], repeated[c]) for c in peptide], "left_anti").unionByName(several.distinct())
+
+    same = once(sorted_.select("protein_id", "sites", "peptide_id", F.lit("isomorphic").alias("status")))
     if not partial:
         return same
-    clusters = sorted_.select("protein_id", F.col("sites").alias("cluster")).distinct().withColumn("first", F.explode("cluster"))
-    small = sorted_.withColumn("first", F.col("sites")[0]).select("protein_id", "first", "peptide_id", "start", "stop", F.col("sites").alias("own"))
-    inside = (F.size("cluster") > F.size("own")) & (F.size(F.array_except("own", "cluster")) == 0)
-    reached = F.exists(F.array_except("cluster", "own"), lambda s: s["position"].between(F.col("start"), F.col("stop")))
-    joined = small.join(clusters, ["protein_id", "first"]).filter(inside & ~reached)
-    return same.unionByName(joined.select("protein_id", F.col("cluster").alias("sites"), "peptide_id", F.lit("partially isomorphic").alias("status")).distinct())
+    clusters = materialised(sorted_.select("protein_id", F.col("sites").alias("cluster")).distinct(), "site-clusters")
+    small = sorted_.select("protein_id", "peptide_id", "start", "stop", F.col("sites").alias("own"))
+    within = F.coalesce(F.forall("own", lambda s: s["position"].between(F.col("start"), F.col("stop"))), F.lit(False))
+    runs = clusters.withColumn("_c", F.array_distinct("cluster")).select("*", F.explode(F.sequence(F.lit(1), F.size("_c"))).alias("_i"))
+    runs = runs.select("*", F.explode(F.sequence(F.lit(1), F.size("_c") - F.col("_i") + 1)).alias("_n")).filter(F.col("_n") < F.size("cluster"))
+    runs = runs.select("protein_id", "cluster", F.slice("_c", F.col("_i"), F.col("_n")).alias("_run"), F.get("_c", F.col("_i") - 2)["position"].alias("_before"), F.get("_c", F.col("_i") + F.col("_n") - 1)["position"].alias("_after"))
+    runs, met = runs.withColumn("_at", F.xxhash64("_run")), small.filter(within).withColumn("_set", F.array_distinct("own")).withColumn("_at", F.xxhash64("_set"))
+    apart = (F.col("_before").isNull() | (F.col("_before") < F.col("start"))) & (F.col("_after").isNull() | (F.col("_after") > F.col("stop")))
+    joined = met.join(runs, ["protein_id", "_at"]).filter((F.col("_set") == F.col("_run")) & (F.size("cluster") > F.size("own")) & apart).select("protein_id", "peptide_id", "cluster")
+    outside = small.filter(~within)
+    if outside.head(1):  # sites that aren't in their match: it meets the clusters that hold its first one
+        inside = (F.size("cluster") > F.size("own")) & (F.size(F.array_except("own", "cluster")) == 0)
+        reached = F.exists(F.array_except("cluster", "own"), lambda s: s["position"].between(F.col("start"), F.col("stop")))
+        holders = clusters.withColumn("first", F.explode(F.array_distinct("cluster")))
+        joined = joined.unionByName(outside.withColumn("first", F.col("own")[0]).join(holders, ["protein_id", "first"]).filter(inside & ~reached).select("protein_id", "peptide_id", "cluster"))
+    return same.unionByName(once(joined.select("protein_id", F.col("cluster").alias("sites"), "peptide_id", F.lit("partially isomorphic").alias("status"))))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tandemflow.functions.columns import between
-from tandemflow.operators import alignment
+from tandemflow.operators import alignment, cluster
 
 from .test_large import plan
 
@@ -41,3 +41,26 @@ def test_quartile_rounds_as_sql(spark):
     df = spark.createDataFrame([(i, min(a, b), max(a, b), s) for i, (a, b, s) in enumerate(pairs)], "i int, a double, b double, s double")
     got = [r["v"] for r in df.select("i", between(F.col("a"), F.col("b"), F.col("s")).alias("v")).orderBy("i").collect()]
     assert got == want
+
+
+def test_site_clusters_meet_equal_runs(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(260):
+        start, n = int(rng.integers(1, 20)), int(rng.integers(0, 9))
+        held = sorted(int(p) for p in rng.choice(np.arange(start, start + n + 1), min(n, int(rng.integers(0, 4))), replace=False))
+        held += [int(rng.integers(1, 30))] * int(rng.integers(1, 3)) if i % 9 == 0 else []  # outside of the match, or twice
+        rows.append((i % 3, int(rng.integers(0, 120)), start, None if i % 50 == 7 else start + n, [(p, "ab"[p % 2]) for p in held]))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "protein_id long, peptide_id long, start int, stop int, sites array<struct<position:int,ptm:string>>").repartition(3)
+    k = [(p, q, a, b, tuple(sorted(s))) for p, q, a, b, s in rows if s]
+    want = {(p, s, q, "isomorphic") for p, q, _, _, s in k}
+    for p, q, a, b, own in k:
+        for c in {s for pp, _, _, _, s in k if pp == p}:
+            others = [x for x, _ in set(c) - set(own)]
+            free = all(x < a for x in others) if b is None else not any(a <= x <= b for x in others)
+            if len(c) > len(own) and set(own) <= set(c) and free:
+                want.add((p, c, q, "partially isomorphic"))
+    out = cluster.site_clusters(df)
+    assert sorted((r["protein_id"], tuple(map(tuple, r["sites"])), r["peptide_id"], r["status"]) for r in out.collect()) == sorted(want)
+    assert re.search(r"Join \[[^]]*xxhash64|Join \[[^]]*_at#", plan(out)), plan(out)
