@@ -111,29 +111,36 @@ def loess(x: np.ndarray, y: np.ndarray, bandwidth: float = 0.3, robust: int = 2)
 
 
 def ratio_fit(x: np.ndarray) -> np.ndarray:
-    """Abundance of each column whose log ratios fit the median log ratios of all column pairs, by least squares.
+    """:func:`ratio_fits` of one matrix."""
+    return ratio_fits(x[None])[0]
 
-    x: rows by columns, nan where missing. The result has the total of x; columns without a pair are nan.
+
+def ratio_fits(x: np.ndarray) -> np.ndarray:
+    """Abundance of each column whose log ratios fit the median log ratios of all column pairs, by least squares; of many matrices at once.
+
+    x: matrices by rows by columns, nan where missing. A result has the total of its x; columns without a pair are nan.
     """
-    n = x.shape[1]
+    count, height, n = x.shape
+    at = np.arange(count)
     logs = np.log(np.where(x > 0, x, np.nan))
-    a, b = np.zeros((n, n)), np.zeros(n)
-    linked = np.zeros(n, dtype=bool)
+    a, b = np.zeros((count, n, n)), np.zeros((count, n))
     for i in range(n):
         for j in range(i + 1, n):
-            d = logs[:, j] - logs[:, i]
-            d = d[~np.isnan(d)]
-            if len(d):
-                r = float(np.median(d))
-                a[i, i] += 1
-                a[j, j] += 1
-                a[i, j] -= 1
-                a[j, i] -= 1
-                b[j] += r
-                b[i] -= r
-                linked[i] = linked[j] = True
-    if not linked.any():
-        return np.where(np.isnan(x).all(axis=0), np.nan, np.nansum(x, axis=0))
-    fit = np.exp(np.linalg.lstsq(a, b, rcond=None)[0])
-    fit = np.where(linked, fit, np.nan)
-    return fit * np.nansum(x[:, linked]) / np.nansum(fit)
+            d = np.sort(logs[:, :, j] - logs[:, :, i], axis=1)  # nan last
+            m = (~np.isnan(d)).sum(axis=1)
+            has = m > 0
+            r = np.where(has, (d[at, np.maximum(m - 1, 0) // 2] + d[at, np.minimum(m // 2, height - 1)]) / 2, 0.0)
+            a[:, i, i] += has
+            a[:, j, j] += has
+            a[:, i, j] -= has
+            a[:, j, i] -= has
+            b[:, j] += r
+            b[:, i] -= r
+    linked = np.diagonal(a, axis1=1, axis2=2) > 0
+    solved = (np.linalg.pinv(a, rcond=np.finfo(float).eps * n, hermitian=True) @ b[:, :, None])[:, :, 0]
+    fit = np.where(linked, np.exp(solved), np.nan)
+    total = np.nansum(np.where(linked[:, None, :], x, np.nan), axis=(1, 2))
+    with np.errstate(invalid="ignore"):
+        fit = fit * (total / np.nansum(fit, axis=1))[:, None]
+    alone = np.where(np.isnan(x).all(axis=1), np.nan, np.nansum(x, axis=1))
+    return np.where(linked.any(axis=1)[:, None], fit, alone)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import from_symmetric_ratio, legacy_percentile, symmetric_ratio
-from ..functions.numerics import corrected_variance, ratio_fit, welch
+from ..functions.numerics import corrected_variance, ratio_fits, welch
 from .quantiles import medians, percentiles
 from .storage import materialised
 
@@ -96,17 +96,29 @@ def fitted_ratios(df: DataFrame, entity: str, row: str, channel: str, value: str
     Entities are dealt to ``tasks`` groups by a hash, so a group is a batch of small matrices.
     """
 
+    def places(of: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Each x's place, from 0, among the distinct ones of its group (groups are numbered from 0)."""
+        values, code = np.unique(x, return_inverse=True)
+        pairs, at = np.unique(of * len(values) + code, return_inverse=True)
+        return at - np.searchsorted(pairs // len(values), of)
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, channels, values = [], [], []
-        for e, part in pdf.groupby(entity, sort=False):
-            r, ri = np.unique(part[row].to_numpy(), return_inverse=True)
-            c, ci = np.unique(part[channel].to_numpy(), return_inverse=True)
-            x = np.full((len(r), len(c)), np.nan)
-            x[ri, ci] = part[value].to_numpy(dtype=np.float64)
-            ids.append(np.full(len(c), e))
-            channels.append(c)
-            values.append(ratio_fit(x))
-        return pd.DataFrame({entity: np.concatenate(ids), channel: np.concatenate(channels), value: np.concatenate(values)})
+        ids, e = np.unique(pdf[entity].to_numpy(), return_inverse=True)
+        r, c, x = places(e, pdf[row].to_numpy()), places(e, pdf[channel].to_numpy()), pdf[value].to_numpy(dtype=np.float64)
+        shape = np.zeros((len(ids), 2), dtype=np.int64)
+        np.maximum.at(shape, e, np.stack([r, c], axis=1) + 1)
+        out, channels = [], pdf[channel].to_numpy()
+        shapes, which = np.unique(shape, axis=0, return_inverse=True)
+        for k, (height, width) in enumerate(shapes):  # matrices of one shape are fitted at once
+            of = np.flatnonzero(which.ravel() == k)
+            mine = which.ravel()[e] == k
+            at = np.searchsorted(of, e[mine])
+            cells = np.full((len(of), height, width), np.nan)
+            cells[at, r[mine], c[mine]] = x[mine]
+            names = np.empty((len(of), width), dtype=channels.dtype)
+            names[at, c[mine]] = channels[mine]
+            out.append(pd.DataFrame({entity: np.repeat(ids[of], width), channel: names.ravel(), value: ratio_fits(cells).ravel()}))
+        return pd.concat(out)
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (entity, channel))
     dealt = df.select(entity, row, channel, value, F.pmod(F.xxhash64(entity), F.lit(tasks)).alias("_task"))
