@@ -77,16 +77,16 @@ def median_profile(df: DataFrame, entity: str, row: str, channel: str, value: st
     Ratios are made symmetric around 0 before their median, where a ratio of exactly 1 is left
     out; the profile is their product and is scaled to the highest mean of the three best rows.
     """
-    steps = df.select(entity, channel).distinct().withColumn("_i", F.dense_rank().over(Window.partitionBy(entity).orderBy(channel)))
-    placed = df.join(steps, [entity, channel]).select(entity, row, "_i", value)
-    before = placed.select(entity, row, (F.col("_i") + 1).alias("_i"), F.col(value).alias("_before"))
+    numbered = F.dense_rank().over(Window.partitionBy(entity).orderBy(channel))
+    df = materialised(df.select(entity, row, channel, value).withColumn("_i", numbered), "matrix")
+    w = Window.partitionBy(entity, row).orderBy("_i")
     moved = symmetric_ratio(F.col(value) / F.col("_before"))
-    ratios = placed.join(before, [entity, row, "_i"]).groupBy(entity, "_i").agg(from_symmetric_ratio(F.median(F.nullif(moved, F.lit(0.0)))).alias("_r"))
-    profile = steps.join(ratios, [entity, "_i"], "left")
+    stepped = df.repartition(entity).withColumn("_before", F.when(F.lag("_i").over(w) == F.col("_i") - 1, F.lag(value).over(w)))
+    profile = stepped.groupBy(entity, channel, "_i").agg(from_symmetric_ratio(F.median(F.nullif(moved, F.lit(0.0)))).alias("_r"))
     logs = F.sum(F.log(F.coalesce("_r", F.lit(1.0)))).over(Window.partitionBy(entity).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
-    profile = profile.withColumn("_p", F.exp(logs))
+    profile = materialised(profile.select(entity, channel, F.exp(logs).alias("_p")), "profile")
     top = summarise(df, entity, row, channel, value, "mean_top3")
-    peak = top.join(profile.select(entity, channel, "_p"), [entity, channel]).groupBy(entity).agg(F.max_by(F.col(value) / F.col("_p"), F.struct(F.col(value), (-F.col(channel)).alias("c"))).alias("_scale"))
+    peak = top.join(profile, [entity, channel]).groupBy(entity).agg(F.max_by(F.col(value) / F.col("_p"), F.struct(F.col(value), (-F.col(channel)).alias("c"))).alias("_scale"))
     return profile.join(peak, entity).select(entity, channel, (F.col("_p") * F.col("_scale")).alias(value))
 
 

@@ -15,6 +15,8 @@ from tandemflow.functions.columns import between
 from tandemflow.functions import numerics
 from tandemflow.operators import alignment, cluster, quant
 
+from tandemflow.plans.abundance import _PROFILE
+
 from .test_large import plan
 
 _STEPS = """, z{n} AS (SELECT *, dt - lag(dt) OVER (PARTITION BY k ORDER BY t, dt) AS step FROM x{p}), y{n} AS (SELECT k, quantile_cont(step, 0.25) AS q1, quantile_cont(step, 0.75) AS q3 FROM z{n} GROUP BY 1)
@@ -101,3 +103,16 @@ def test_ratio_fits_of_many_matrices(spark):
     begin = time.perf_counter()
     numerics.ratio_fits(rng.lognormal(5, 1, (20000, 4, 5)))
     assert time.perf_counter() - begin < 2.5  # one by one it took more than a tenth of a millisecond a pair
+
+
+def test_profile_reads_its_rows_once(spark):
+    rng = np.random.default_rng(15)
+    cells = [(e, r, c, float(rng.choice([1.0, 2.0, 4.0, 7.0]))) for e in range(40) for r in range(5) for c in (2, 5, 6, 9) if rng.random() < 0.7]
+    out = quant.median_profile(spark.createDataFrame(cells, "e int, r int, c int, x double").repartition(3), "e", "r", "c", "x")
+    con = duckdb.connect()
+    con.register("quant", pa.table({"entity_id": [c[0] for c in cells], "row_id": [c[1] for c in cells], "qc_id": [c[2] for c in cells], "raw_abundance": [c[3] for c in cells]}))
+    want = con.sql("WITH " + _PROFILE.lstrip(", ")).fetchall()
+    got = {(r["e"], r["c"]): r["x"] for r in out.collect()}
+    assert got.keys() == {(e, c) for e, c, _ in want}
+    assert all(got[e, c] == pytest.approx(x, abs=6e-3) for e, c, x in want)
+    assert "ExistingRDD" not in plan(out)  # all reads are of what was written once
