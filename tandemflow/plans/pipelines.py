@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import fdr, hierarchy, inference, merge, quant, scoring
+from ..operators.storage import materialised
 from .registry import query
 from .views import Views
 
@@ -37,10 +38,15 @@ def summarised(psms: DataFrame, holder: str = "query_id") -> DataFrame:
 def merged_tree(psms: DataFrame, edges: DataFrame, leaf: str) -> DataFrame:
     """For every node of a tree, one match per peptide over all result sets below it.
 
-    Matches are merged by leaf and peptide first, so what is joined to the ancestors is one row for each.
+    Leaves below the same nodes are one class: matches are merged by class and peptide first, so what is joined to the nodes is
+    one row for each.
     """
-    of_leaf = merge.aggregate(psms, [leaf, "peptide_id"], child=leaf).drop("children").withColumnRenamed(leaf, "descendant")
-    below = hierarchy.closure(edges).join(of_leaf, "descendant").withColumnRenamed("ancestor", "node")
+    above = hierarchy.closure(edges).groupBy(F.col("descendant").alias(leaf)).agg(F.sort_array(F.collect_list("ancestor")).alias("_nodes"))
+    above = materialised(above, "above")
+    classes = materialised(above.groupBy("_nodes").agg(F.min(leaf).alias("_class")), "classes")
+    placed = psms.join(above.join(classes, "_nodes").select(leaf, "_class"), leaf)
+    of_class = merge.aggregate(placed, ["_class", "peptide_id"], child="_class").drop("children")
+    below = of_class.join(classes.select("_class", F.explode("_nodes").alias("node")), "_class")
     return merge.aggregated_again(below, ["node", "peptide_id"])
 
 

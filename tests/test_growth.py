@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tandemflow.functions.columns import between
 from tandemflow.functions import numerics
-from tandemflow.operators import alignment, cluster, quant
+from tandemflow.operators import alignment, cluster, merge, quant
+from tandemflow.plans import pipelines
 
 from tandemflow.plans.abundance import _PROFILE
 
@@ -116,3 +117,23 @@ def test_profile_reads_its_rows_once(spark):
     assert got.keys() == {(e, c) for e, c, _ in want}
     assert all(got[e, c] == pytest.approx(x, abs=6e-3) for e, c, x in want)
     assert "ExistingRDD" not in plan(out)  # all reads are of what was written once
+
+
+def test_tree_merges_leaves_of_one_class_first(spark):
+    rng = np.random.default_rng(16)
+    edges = [("R", "A"), ("R", "B"), ("A", "x1"), ("A", "x2"), ("A", "x3"), ("B", "x3"), ("B", "y"), ("x1", "z")]  # x3 is below two nodes, x1 holds matches and a child
+    psms = [(i, int(rng.integers(0, 6)), float(rng.integers(0, 4)), str(rng.choice(["x1", "x2", "x3", "y", "z", "lost"]))) for i in range(300)]
+    seen = []
+    real = merge.aggregated_again
+    try:
+        merge.aggregated_again = lambda df, key: seen.append(df.count()) or real(df, key)
+        out = pipelines.merged_tree(spark.createDataFrame(psms, "psm_id long, peptide_id long, score double, leaf string"), spark.createDataFrame(edges, "parent_id string, child_id string"), "leaf")
+    finally:
+        merge.aggregated_again = real
+    holders = {"x1": "AR", "x2": "AR", "x3": "ABR", "y": "BR", "z": ["x1", "A", "R"]}
+    met: dict = {}
+    for i, p, s, leaf in psms:
+        for n in holders.get(leaf, []):
+            met.setdefault((n, p), []).append((s, -i))
+    assert sorted(map(tuple, out.select("node", "peptide_id", "best_psm_id", "score", "spectral_count").collect())) == sorted((n, p, -max(m)[1], max(m)[0], len(m)) for (n, p), m in met.items())
+    assert seen == [6 * (2 + 3 + 2 + 3)]  # x1 and x2 are one class: by leaf it would be 6 * 12
